@@ -7,20 +7,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import identify_languages
 from .media_ts import transport_streams
-from .shared import table
+from .packing import best_fit_pack, tokenised_pieces
+from .shared import doc_bucket, table
+from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenised_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_pack(pieces)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = doc_bucket("doc_id", 4) == 2
+    found = identify_languages(docs, training=~held_out)
+    return found.select("doc_id", (doc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_streams(table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_media_columns,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op6_language_id, op7_token_counts, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

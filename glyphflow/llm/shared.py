@@ -40,3 +40,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def doc_bucket(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the fold of a document."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)
+
+
+class TwoGenerations(dict):
+    """A dictionary filled on demand by ``make``, with at most twice ``entries`` entries.
+
+    When the newer half is full the older half goes; what is still in use moves
+    over on its next use. It changes speed only.
+    """
+
+    def __init__(self, entries: int, longest: int):
+        super().__init__()
+        self.entries, self.longest, self.older = entries, longest, {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
