@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import identify_languages
 from .media_ts import transport_streams
 from .packing import best_fit_pack, tokenised_pieces
+from .pii import pii_report
 from .shared import doc_bucket, table
 from .token_counts import token_counts
 
@@ -24,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(pieces)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = doc_bucket("doc_id", 4) == 2
@@ -40,7 +45,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_language_id, op7_token_counts, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_pii, op6_language_id, op7_token_counts, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
