@@ -10,6 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import near_duplicates
 from .language_id import identify_languages
 from .media_ts import transport_streams
 from .packing import best_fit_pack, tokenised_pieces
@@ -25,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(pieces)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_pii, op6_language_id, op7_token_counts, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
