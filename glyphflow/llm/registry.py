@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_duplicates
+from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .media_ts import transport_streams
 from .packing import best_fit_pack, tokenised_pieces
@@ -45,12 +46,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_streams(table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
