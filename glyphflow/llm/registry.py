@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
+from .language_model import language_model_scores
 from .media_ts import transport_streams
 from .packing import best_fit_pack, tokenised_pieces
 from .pii import pii_report
@@ -50,12 +51,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"), training=doc_bucket("doc_id", 10) != 0)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_streams(table(spark, sf_dir, "documents"), keep_media=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
