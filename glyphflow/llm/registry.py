@@ -14,9 +14,11 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .language_model import language_model_scores
+from .licenses import licence_scan
 from .media_ts import transport_streams
 from .packing import best_fit_pack, tokenised_pieces
 from .pii import pii_report
+from .sentencepiece_viterbi import encode
 from .shared import doc_bucket, table
 from .token_counts import token_counts
 
@@ -32,6 +34,16 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether they decode to it."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), model, check=True)
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -60,7 +72,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
