@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STATE, WINDOW, LANES, RATE, CLASSES = 16, 16, 256, 0.05, 64
+STATE, LANES, RATE, CLASSES = 16, 256, 0.1, 48
+#: Steps of one backward pass, and of one piece of scoring.
+WINDOW, STRETCH = 32, 64
 
 
 @dataclass
@@ -68,7 +70,11 @@ class Lanes:
             n, lane = heapq.heappop(heap)
             placed.append((k, lane, n))
             heapq.heappush(heap, (n + len(texts[k]), lane))
-        steps = max(n for n, _ in heap)
+        # Longest lane first: the lanes still in use at a step are the leading ones.
+        order = {lane: k for k, (_, lane) in enumerate(sorted(heap, key=lambda x: (-x[0], x[1])))}
+        placed = [(k, order[lane], at) for k, lane, at in placed]
+        self.lengths = -np.sort([-n for n, _ in heap])
+        steps = int(self.lengths[0])
         self.target = np.full((steps, lanes), -1, np.int32)
         self.source = np.zeros((steps, lanes), np.int32)
         self.keep = np.ones((steps, lanes), np.float32)
@@ -81,14 +87,18 @@ class Lanes:
             self.keep[at, lane] = 0
             self.text[at : at + len(own), lane] = k
 
+    def windows(self, size: int):
+        """(begin, steps, lanes in use) of consecutive windows."""
+        for t0 in range(0, len(self.target), size):
+            yield t0, min(size, len(self.target) - t0), int(np.searchsorted(-self.lengths, -t0, side="left"))
 
-def _forward(p: dict, lanes: Lanes, t0: int, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    steps = min(WINDOW, len(lanes.target) - t0)
+
+def _forward(p: dict, lanes: Lanes, t0: int, steps: int, h: np.ndarray) -> tuple[dict, np.ndarray]:
     b, s = h.shape
     kept = {k: np.empty((steps, b, s), np.float32) for k in ("prev", "z", "r", "n", "un", "h")}
     for t in range(steps):
-        h = h * lanes.keep[t0 + t][:, None]
-        gates, rec = p["gates"][lanes.source[t0 + t]], h @ p["recur"]
+        h = h * lanes.keep[t0 + t, :b, None]
+        gates, rec = p["gates"][lanes.source[t0 + t, :b]], h @ p["recur"]
         zr = 1 / (1 + np.exp(-(gates[:, : 2 * s] + rec[:, : 2 * s])))
         z, r, un = zr[:, :s], zr[:, s:], rec[:, 2 * s :]
         n = np.tanh(gates[:, 2 * s :] + r * un)
@@ -98,11 +108,14 @@ def _forward(p: dict, lanes: Lanes, t0: int, h: np.ndarray) -> tuple[dict, np.nd
     return kept, h
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(logits: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of each row, if asked, and the logarithm of its sum of exponentials."""
     top = logits.max(axis=1, keepdims=True)
     e = np.exp(logits - top)
     total = e.sum(axis=1, keepdims=True)
-    return e / total, (top + np.log(total))[:, 0]
+    if shares:
+        e /= total
+    return e, (top + np.log(total))[:, 0]
 
 
 def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -110,7 +123,7 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
     cls = np.searchsorted(shape.starts, target, side="right") - 1
     rows = np.arange(len(target))
     logits = state @ p["class_w"].T + p["class_b"]
-    share, total = _softmax(logits)
+    share, total = _softmax(logits, grads is not None)
     loglik = logits[rows, cls] - total
     back = None
     if grads is not None:
@@ -125,7 +138,7 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
         a, b = shape.starts[c], shape.starts[c + 1]
         w, x, hit = p["word_w"][a:b], state[own], target[own] - a
         logits = x @ w.T + p["word_b"][a:b]
-        share, total = _softmax(logits)
+        share, total = _softmax(logits, grads is not None)
         k = np.arange(len(own))
         loglik[own] += logits[k, hit] - total
         if grads is not None:
@@ -139,10 +152,10 @@ def train(p: dict, shape: Shape, texts: list[np.ndarray], first: int, memory: di
     """One pass of truncated backpropagation over these texts, in place; ``memory`` keeps the squared gradients."""
     lanes = Lanes(texts, first)
     h = np.zeros((lanes.target.shape[1], STATE), np.float32)
-    for t0 in range(0, len(lanes.target), WINDOW):
-        f, h = _forward(p, lanes, t0, h)
-        steps, b, s = f["h"].shape
-        target = lanes.target[t0 : t0 + steps].ravel()
+    s = STATE
+    for t0, steps, b in lanes.windows(WINDOW):
+        f, h = _forward(p, lanes, t0, steps, h[:b])
+        target = lanes.target[t0 : t0 + steps, :b].ravel()
         used = np.flatnonzero(target >= 0)
         grads: dict[str, np.ndarray] = {}
         back = np.zeros((steps * b, s), np.float32)
@@ -158,12 +171,12 @@ def train(p: dict, shape: Shape, texts: list[np.ndarray], first: int, memory: di
             d_in[t, :, 2 * s :] = dn
             d_rec[t] = d_in[t]
             d_rec[t, :, 2 * s :] *= r
-            dh = (dh * z + d_rec[t] @ p["recur"].T) * lanes.keep[t0 + t][:, None]
+            dh = (dh * z + d_rec[t] @ p["recur"].T) * lanes.keep[t0 + t, :b, None]
         grads["recur"] = f["prev"].reshape(-1, s).T @ d_rec.reshape(-1, 3 * s)
         scale = np.float32(1 / max(len(used), 1))
         for k, g in grads.items():
             _step(p[k], memory[k], g * scale)
-        source = lanes.source[t0 : t0 + steps].ravel()
+        source = lanes.source[t0 : t0 + steps, :b].ravel()
         order = np.argsort(source, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(source[order]) != 0]))
         rows = source[order][heads]
@@ -182,10 +195,10 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], first: int) -> np.ndar
     total = np.zeros(len(texts))
     lanes = Lanes(texts, first)
     h = np.zeros((lanes.target.shape[1], STATE), np.float32)
-    for t0 in range(0, len(lanes.target), WINDOW):
-        f, h = _forward(p, lanes, t0, h)
-        target = lanes.target[t0 : t0 + WINDOW].ravel()
+    for t0, steps, b in lanes.windows(STRETCH):
+        f, h = _forward(p, lanes, t0, steps, h[:b])
+        target = lanes.target[t0 : t0 + steps, :b].ravel()
         used = np.flatnonzero(target >= 0)
         loglik, _ = _output(p, shape, f["h"].reshape(-1, STATE)[used], target[used], None)
-        total += np.bincount(lanes.text[t0 : t0 + WINDOW].ravel()[used], loglik, len(texts))
+        total += np.bincount(lanes.text[t0 : t0 + steps, :b].ravel()[used], loglik, len(texts))
     return total

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from . import gru_model as gru
 from .shared import written
 
-HEAD, SYMBOLS, SMOOTH = 65_000, 4096, 0.1
+HEAD, SYMBOLS, SMOOTH = 65_000, 2048, 0.1
 #: Shares of the training texts (by hash of the text) that the rounds use; together all of them.
 ROUNDS = (0.25, 1.0)
 END = b"\n"
-FLUSH_WORDS, BLOCK_TOKENS, CHUNK = 400_000, 1 << 20, 1 << 12
+FLUSH_WORDS, BLOCK_TOKENS, CHUNK = 400_000, 1 << 22, 1 << 12
 OTHER = 65_535
 
 
