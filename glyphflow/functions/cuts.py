@@ -64,7 +64,11 @@ def typical_width(cuts: Column, left: Column, right: Column) -> Column:
 
 def promote_edges(cuts: Column, left: Column, right: Column, mode: str = "auto", ratio: float = 0.45, least: int = 2) -> Column:
     """struct<left, right, cuts>: outer cuts become the bounds of the text (off, on, or auto: if both edge intervals are narrow)."""
-    inner = F.filter(F.array_sort(F.array_distinct(cuts)), lambda c: (c > left) & (c < right))
+    kept = F.filter(F.array_sort(F.array_distinct(cuts)), lambda c: (c > left) & (c < right))
+    return F.get(F.transform(F.array(kept), lambda inner: _promoted(inner, left, right, mode, ratio, least)), F.lit(0))
+
+
+def _promoted(inner: Column, left: Column, right: Column, mode: str, ratio: float, least: int) -> Column:
     as_is = F.struct(left.alias("left"), right.alias("right"), inner.alias("cuts"))
     if mode == "off":
         return as_is
@@ -84,18 +88,13 @@ def trim_empty_edges(intervals: Column, has_ink: Column) -> Column:
     return F.when(first > 0, F.slice(intervals, F.greatest(first, F.lit(1)).cast("int"), kept)).otherwise(F.slice(intervals, 1, 0))
 
 
-def merge_narrow_edges(intervals: Column, least: int) -> Column:
-    """A first or last interval narrower than ``least`` joins its inner neighbour, until wide enough."""
-    if least <= 1:
-        return intervals
+def merge_narrow_start(intervals: Column, least: int) -> Column:
+    """A first interval narrower than ``least`` joins the next, until wide enough."""
     one = lambda a, b: F.struct(F.least(a["start"], b["start"]).alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
 
-    def fold(items: Column) -> Column:
-        def step(done: Column, x: Column) -> Column:
-            head = F.get(done, F.lit(0))
-            join = (F.size(done) == 1) & (head["end"] - head["start"] < least)
-            return F.when(join, F.array(one(head, x))).otherwise(F.concat(done, F.array(x)))
-
-        return F.aggregate(items, F.slice(items, 1, 0), step)
+    def step(done: Column, x: Column) -> Column:
+        head = F.get(done, F.lit(0))
+        join = (F.size(done) == 1) & (head["end"] - head["start"] < least)
+        return F.when(join, F.array(one(head, x))).otherwise(F.concat(done, F.array(x)))
 
-    return F.reverse(fold(F.reverse(fold(intervals))))
+    return F.aggregate(intervals, F.array().cast("array<struct<start:int,end:int>>"), step)

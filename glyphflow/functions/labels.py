@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import indices
+from .scores import bound, indices
 
 IGNORED = -100
 SPANS = "array<struct<ch:string,x0:double,x1:double>>"
@@ -55,16 +55,20 @@ def spans_text(spans: Column) -> Column:
 
 def dense_labels(spans: Column, alphabet: Column, width: Column, space: int = 0) -> Column:
     """The class of each pixel column: the span over its centre, else the nearest span centre (first on ties); space outside the text."""
-    left, right = F.array_min(F.transform(spans, lambda s: s["x0"])), F.array_max(F.transform(spans, lambda s: s["x1"]))
 
-    def at(x: Column) -> Column:
-        centre = x + F.lit(0.5)
-        over = F.filter(spans, lambda s: (s["x0"] <= centre) & (centre < s["x1"]))
-        near = F.array_min(F.transform(spans, lambda s, i: F.struct(F.abs((s["x0"] + s["x1"]) / 2 - centre).alias("d"), i.alias("i"))))
-        ch = F.coalesce(F.get(over, F.lit(0))["ch"], F.get(spans, near["i"])["ch"])
-        return F.when((centre < left) | (centre >= right) | left.isNull(), F.lit(space)).otherwise(F.array_position(alphabet, ch).cast("int") - 1)
+    def labelled(ends: Column) -> Column:
+        def at(x: Column) -> Column:
+            centre = x + F.lit(0.5)
+            over = F.filter(spans, lambda s: (s["x0"] <= centre) & (centre < s["x1"]))
+            near = F.array_min(F.transform(spans, lambda s, i: F.struct(F.abs((s["x0"] + s["x1"]) / 2 - centre).alias("d"), i.alias("i"))))
+            ch = F.coalesce(F.get(over, F.lit(0))["ch"], F.get(spans, near["i"])["ch"])
+            outside = (centre < ends["left"]) | (centre >= ends["right"]) | ends["left"].isNull()
+            return F.when(outside, F.lit(space)).otherwise(F.array_position(alphabet, ch).cast("int") - 1)
 
-    return F.transform(F.sequence(F.lit(0), width - 1), at)
+        return F.transform(F.sequence(F.lit(0), width - 1), at)
+
+    both = F.struct(F.array_min(F.transform(spans, lambda s: s["x0"])).alias("left"), F.array_max(F.transform(spans, lambda s: s["x1"])).alias("right"))
+    return bound(both, labelled)
 
 
 def cut_projection(spans: Column, width: Column, radius: int = 1, margins: bool = False) -> Column:

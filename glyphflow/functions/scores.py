@@ -38,10 +38,20 @@ def ids_to_text(ids: Column, alphabet: Column) -> Column:
     return F.array_join(F.filter(F.transform(collapse(ids), lambda v: F.get(alphabet, v)), lambda c: c.isNotNull()), "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def runs(values: Column) -> Column:
     """array<struct<start, end, value>> of equal neighbours, ends inclusive."""
-    starts = F.filter(indices(values), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
-    return F.transform(starts, lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get(starts, k + 1), F.size(values)) - 1).cast("int").alias("end"), F.get(values, s).alias("value")))
+
+    def of(v: Column) -> Column:
+        starts = F.filter(indices(v), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        one = lambda s, nxt: F.struct(s.alias("start"), (F.coalesce(nxt, F.size(v)) - 1).cast("int").alias("end"), F.get(v, s).alias("value"))
+        return bound(starts, lambda st: F.transform(st, lambda s, k: one(s, F.get(st, k + 1))))
+
+    return bound(values, of)
 
 
 def boolean_runs(flags: Column) -> Column:
@@ -52,9 +62,12 @@ def boolean_runs(flags: Column) -> Column:
 
 def close_holes(flags: Column, largest: int) -> Column:
     """Gaps of up to ``largest`` between runs of true become true."""
-    own = boolean_runs(flags)
-    holes = F.filter(F.transform(own, lambda r, k: F.struct(r["end"].alias("a"), F.get(own, k + 1)["start"].alias("b"))), lambda h: h["b"].isNotNull() & (h["b"] - h["a"] <= largest))
-    return F.transform(flags, lambda f, i: f | F.exists(holes, lambda h: (i >= h["a"]) & (i < h["b"])))
+
+    def filled(own: Column) -> Column:
+        holes = F.filter(F.transform(own, lambda r, k: F.struct(r["end"].alias("a"), F.get(own, k + 1)["start"].alias("b"))), lambda h: h["b"].isNotNull() & (h["b"] - h["a"] <= largest))
+        return bound(holes, lambda hs: F.transform(flags, lambda f, i: f | F.exists(hs, lambda h: (i >= h["a"]) & (i < h["b"]))))
+
+    return bound(boolean_runs(flags), filled)
 
 
 def top_k(values: Column, k: int) -> Column:

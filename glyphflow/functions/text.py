@@ -64,7 +64,7 @@ def class_label(class_id: Column, alphabet: Column) -> Column:
 
 def missing_chars_text(missing: Column, shown: int = 24) -> Column:
     """``a, b, c +k``: the first characters of a list and how many more there are."""
-    head = F.array_join(F.transform(F.slice(missing, 1, shown), display_char), ", ")
+    head = F.array_join(F.transform(F.slice(missing, 1, shown), lambda c: display_char(c)), ", ")
     return F.when(F.size(missing) > shown, F.concat(head, F.lit(" +"), (F.size(missing) - shown).cast("string"))).otherwise(head)
 
 

@@ -59,14 +59,16 @@ def min_gap(cuts: list[int], values: np.ndarray, least: int) -> list[int]:
     return kept
 
 
-def insert_missing_cuts(least: int, most: int, threshold: float) -> Callable[..., Column]:
-    """An Arrow function (cuts, candidates, scores) -> cuts; the loop depends on its own results."""
+def insert_missing_cuts(df: DataFrame, cuts: str, candidates: str, scores: str, least: int, most: int, threshold: float) -> DataFrame:
+    """``df`` with cuts added; the loop depends on its own results, so it runs in Arrow batches."""
 
-    @F.pandas_udf("array<int>")
-    def insert(cuts: pd.Series, candidates: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([insert_missing([*map(int, c)], [*map(int, k)], np.asarray(v), least, most, threshold) if len(v) else [] for c, k, v in zip(cuts, candidates, values, strict=True)])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = zip(frame[cuts], frame[candidates], frame[scores], strict=True)
+            done = [insert_missing([*map(int, c)], [*map(int, k)], np.asarray(v), least, most, threshold) if len(v) else [] for c, k, v in rows]
+            yield frame.assign(**{cuts: done})
 
-    return insert
+    return df.mapInPandas(run, df.schema)
 
 
 def segment(
@@ -82,7 +84,7 @@ def segment(
     if least > 0 or most > 0:
         out = out.withColumn("cut_positions", S.enforce_min_gap(F.col("cut_positions"), F.col("_s"), least))
     if most > 0:
-        out = out.withColumn("cut_positions", insert_missing_cuts(least, most, candidate_threshold)("cut_positions", "candidates", "_s"))
+        out = insert_missing_cuts(out, "cut_positions", "candidates", "_s", least, most, candidate_threshold)
         out = out.withColumn("cut_positions", S.enforce_min_gap(F.col("cut_positions"), F.col("_s"), least))
     out = out.withColumn("flags", F.transform(S.indices(F.col(scores)), lambda i: F.array_contains("cut_positions", i).cast("int")))
     out = out.withColumn("confidences", F.zip_with("flags", scores, lambda f, s: F.when(f == 1, s).otherwise(1 - s)))
@@ -90,10 +92,17 @@ def segment(
 
 
 def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | None = None, right: Column | None = None, mode: str = "auto", ratio: float = 0.45, least: int = 2) -> DataFrame:
-    """The intervals between the bounds and the cuts, with narrow edges merged."""
-    out = df.withColumn("_b", C.promote_edges(F.col(cuts), left if left is not None else F.lit(0), right, mode, ratio, least))
-    edges = F.array_sort(F.array_distinct(F.concat(F.array("_b.left"), F.col("_b.cuts"), F.array("_b.right"))))
-    return out.withColumn("intervals", C.merge_narrow_edges(F.filter(C.pairs(edges), lambda p: p["end"] > p["start"]), least)).drop("_b")
+    """The intervals between the bounds and the cuts, with narrow edges merged.
+
+    Each step is a column of its own, so that no expression holds another many times.
+    """
+    out = df.withColumn("_left", left if left is not None else F.lit(0)).withColumn("_right", right)
+    out = out.withColumn("_b", C.promote_edges(F.col(cuts), F.col("_left"), F.col("_right"), mode, ratio, least))
+    out = out.withColumn("_e", F.array_sort(F.array_distinct(F.concat(F.array("_b.left"), F.col("_b.cuts"), F.array("_b.right")))))
+    out = out.withColumn("_iv", F.filter(C.pairs(F.col("_e")), lambda p: p["end"] > p["start"]))
+    for _ in range(2):  # from the left, then from the right
+        out = out.withColumn("_iv", F.reverse(C.merge_narrow_start(F.col("_iv"), least)))
+    return out.withColumnRenamed("_iv", "intervals").drop("_left", "_right", "_b", "_e")
 
 
 def interval_classes(df: DataFrame, key: str = "line_id", probs: str = "p", intervals: str = "intervals", fraction: float = 0.6, least: int = 1, k: int = 1) -> DataFrame:
