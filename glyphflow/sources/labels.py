@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glyphflow.functions.text import unicode_strip
 
-EXPORT = T.StructType.fromDDL(
-    "id bigint, data struct<image:string>, annotations array<struct<result:array<struct<value:struct<text:array<string>>>>>>"
-)
+EXPORT = "id bigint, data struct<image:string>, annotations array<struct<result:array<struct<value:struct<text:array<string>>>>>>"
+_NESTED = EXPORT.replace("id bigint", "id:bigint").replace("data struct", "data:struct").replace("annotations array", "annotations:array")
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
 FONT_ENDINGS = ("ttf", "otf", "ttc")
 
@@ -31,7 +29,7 @@ def read_label_export(spark: SparkSession, path: str, limit: int | None = None)
     """Tasks of a JSON array, in file order up to ``limit``."""
     raw = spark.read.schema(EXPORT).option("multiLine", True).json(path)
     if limit is not None:
-        whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", T.ArrayType(EXPORT))).alias("at", "task"))
+        whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_NESTED}>>")).alias("at", "task"))
         raw = whole.where(F.col("at") < limit).select("task.*")
     return flatten_tasks(raw)
 
