@@ -13,10 +13,11 @@ union. Equal sets are one class from the start. The classes are split by size:
 x is chosen by cost: subsets to enumerate against list entries to scan, from the
 measured sizes and frequencies.
 
-Lists are verified twice. First every member against the first of its list, which
-joins groups of near copies at linear cost; then, in lists that still hold
+Lists are verified in steps. First every class against one lead, the first of
+most of its lists, which joins groups of near copies at linear cost; then one pair
+for each two components that still share a list; last, in lists that still hold
 several components, every pair of members from different components, in tiles
-of bounded size. Sizes and parity bitmaps (an exact lower bound of the symmetric
+of bounded size. Sizes and parity sketches (an exact lower bound of the symmetric
 difference) drop pairs that can't link; the rest are checked on their whole
 sets. Pairs within one component need no check: the result is the components and
 the verified links that span them. No list is cut short.
@@ -35,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -49,6 +50,8 @@ MOST_LIGHT, BLOCK = 20, 512
 #: Ids up to this number are sent to all executors (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 WORDS = 4
+#: Rounds that check one pair for each two components before all other pairs are checked.
+ROUNDS = 2
 _MARK = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,10 +76,19 @@ def light_boundary(sizes: dict[int, int], entries_per_list: float, percent: int)
     return min(range(MOST_LIGHT + 1), key=lambda x: (sum(v for n, v in subsets.items() if n <= x) + sum(v for n, v in scans.items() if n > x), x))
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 64 * WORDS cells; it differs in at most |A xor B| cells."""
-    cells = np.bincount((shingles >> np.uint64(5)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64)
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 64 * WORDS or more cells, about half as many as shingles.
+
+    Two sketches differ in at most |A xor B| cells, at any common size.
+    """
+    cells = max(64 * WORDS, 1 << (len(shingles) // 2).bit_length())
+    places = (shingles >> np.uint64(5)).astype(np.int64) & (cells - 1)
+    return np.packbits((np.bincount(places, minlength=cells) & 1).astype(np.uint8), bitorder="little")
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch with ``size`` bytes."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -97,24 +109,24 @@ def _summary(df: DataFrame, k: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often, held, size = counts >= IN_BLOCK, [], 0
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, *[none] * WORDS, pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["id", "n", "cls", *bits, "shingle", "c"])
+            return pa.RecordBatch.from_arrays([none, none, none, *[none] * WORDS, pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(len(none), pa.binary())], names=["id", "n", "cls", *bits, "shingle", "c", "sketch"])
 
         for batch in batches:
-            n, cls, maps = [], [], []
+            n, cls, sketches = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
                 cls.append(_fingerprint(s))
-                maps.append(_bitmap(s))
+                sketches.append(_sketch(s))
                 held.append(s)
                 size += len(s)
                 if size >= BLOCK_SHINGLES:
                     yield frequent()
             if n:
-                none, maps = pa.nulls(len(n), pa.int64()), np.stack(maps)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(maps[:, i]) for i in range(WORDS)), none, none], names=["id", "n", "cls", *bits, "shingle", "c"])
+                none, maps = pa.nulls(len(n), pa.int64()), np.stack([_folded(x, 8 * WORDS).view(np.int64) for x in sketches])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(maps[:, i]) for i in range(WORDS)), none, none, pa.array([x.tobytes() for x in sketches], pa.binary())], names=["id", "n", "cls", *bits, "shingle", "c", "sketch"])
         yield frequent()
 
-    return df.mapInArrow(scan, "id long, n long, cls long, " + ", ".join(f"{b} long" for b in bits) + ", shingle long, c long")
+    return df.mapInArrow(scan, "id long, n long, cls long, " + ", ".join(f"{b} long" for b in bits) + ", shingle long, c long, sketch binary")
 
 
 def _listed(df: DataFrame, k: int, percent: int, x: int, frequent: np.ndarray) -> DataFrame:
@@ -175,17 +187,28 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, cls, lead, lead_n = keys[-1], own[-1], leads[-1], leads_n[-1]
 
 
-def _can_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and bitmaps allow a link between the two sides."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(WORDS)), F.lit(0))
-    return total - differ >= 2 * F.ceil(total * percent / (100 + percent))
+def _can_link(percent: int):
+    """Over (a, b, pn, qn, ps, qs): the pairs that sizes and sketches allow, with the total of the sizes."""
+
+    def keep(row) -> bool:
+        p, q = np.frombuffer(row.ps, np.uint8), np.frombuffer(row.qs, np.uint8)
+        size, total = min(len(p), len(q)), row.pn + row.qn
+        differ = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
+        return total - differ >= 2 * pair_overlap(row.pn, row.qn, percent)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = frame[[keep(r) for r in frame.itertuples(index=False)]] if len(frame) else frame
+            yield pd.DataFrame({"a": own["a"], "b": own["b"], "total": own["pn"] + own["qn"]})
+
+    return scan
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs of classes (a, b) whose whole sets link."""
-    sides = pairs.join(classes.alias("p"), F.col("a") == F.col("p.cls")).join(classes.alias("q"), F.col("b") == F.col("q.cls"))
-    open_pairs = written(sides.where(_can_link("p", "q", percent)).select("a", "b", (F.col("p.n") + F.col("q.n")).alias("total")), "jaccard-pairs")
+    own = classes.select("cls", "n", "sketch")
+    sides = pairs.join(own.toDF("a", "pn", "ps"), "a").join(own.toDF("b", "qn", "qs"), "b").select("a", "b", "pn", "qn", "ps", "qs")
+    open_pairs = written(sides.mapInPandas(_can_link(percent), "a long, b long, total long"), "jaccard-pairs")
     needed = open_pairs.select(F.col("a").alias("cls")).union(open_pairs.select("b")).distinct()
     needed = written(classes.join(needed, "cls").select(F.col("rep").alias("id"), "cls"), "jaccard-needed")
     few = needed.count() <= BROADCAST_IDS
@@ -220,7 +243,8 @@ def _cross_pairs(percent: int):
             a.append(np.minimum(cls[at], cls[at + step]))
             b.append(np.maximum(cls[at], cls[at + step]))
             step += 1
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return found.groupby(["a", "b"], as_index=False).size().rename(columns={"size": "lists"})
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -239,6 +263,18 @@ def _cross_pairs(percent: int):
     return scan
 
 
+def _untested(every: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, lists): pairs of classes of different components that share a list and may link, with the lists shared."""
+    members = every.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "g").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("key", "cls", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiles = dealt.join(classes.drop("rep", "sketch"), "cls").withColumn("cross", F.col("i") != F.col("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tiles.mapInPandas(_cross_pairs(percent), "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """Per row: ``key``, n_shingles and component_id (least key reachable by links)."""
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -247,7 +283,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     docs = summary.where("shingle is null").drop("shingle", "c")
     with_words = docs.where("n > 0 and id is not null")
     bits = [f"b{i}" for i in range(WORDS)]
-    classes = written(with_words.groupBy("cls").agg(F.min("id").alias("rep"), *(F.min(c).alias(c) for c in ("n", *bits))), "jaccard-classes")
+    classes = written(with_words.groupBy("cls").agg(F.min("id").alias("rep"), *(F.min(c).alias(c) for c in ("n", *bits, "sketch"))), "jaccard-classes")
 
     often = written(summary.where("shingle is not null").groupBy("shingle").agg(F.sum("c").alias("c")), "jaccard-frequent")
     levels = sorted(often.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).count().collect(), reverse=True)
@@ -265,27 +301,33 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     lists = entries.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(_members, "key long, cls long, n long, lead long, lead_n long")
     lists = written(lists, "jaccard-lists")
 
+    # First each class against the lead that it shares most lists with.
     fits = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent
-    first = lists.where(fits).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = written(_verified(first, classes, bodies, k, percent), "jaccard-links")
-    labels = components(links).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
-
-    members = lists.select("key", "cls").union(lists.select("key", "lead")).distinct().join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    members = written(members, "jaccard-members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
-    dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "g").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("key", "cls", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiles = dealt.join(classes.drop("rep"), "cls").withColumn("cross", F.col("i") != F.col("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = written(tiles.mapInPandas(_cross_pairs(percent), "a long, b long").distinct(), "jaccard-rest")
-    if not rest.isEmpty():
+    shared = lists.where(fits).groupBy("cls", "lead").agg(F.count("*").alias("lists"))
+    best = shared.groupBy("cls").agg(F.max(F.struct("lists", "lead")).alias("top"))
+    tested = written(best.select(F.least("cls", "top.lead").alias("a"), F.greatest("cls", "top.lead").alias("b")).distinct(), "jaccard-tested")
+    links = written(_verified(tested, classes, bodies, k, percent), "jaccard-links")
+    every = written(lists.select("key", "cls").union(lists.select("key", "lead")).distinct(), "jaccard-members")
+    for level in range(ROUNDS + 1):
+        labels = components(links).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
+        rest = _untested(every, labels, classes, percent).join(tested, ["a", "b"], "left_anti")
+        if level < ROUNDS:
+            # One pair for each two components; most of their other pairs then need no check.
+            one, two = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+            ends = rest.join(one, "a", "left").join(two, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+            both = ends.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.max(F.struct("lists", "a", "b")).alias("top"))
+            rest = both.select("top.a", "top.b")
+        rest = written(rest.select("a", "b"), "jaccard-rest")
+        if rest.isEmpty():
+            break
         links = written(links.unionByName(_verified(rest, classes, bodies, k, percent)), "jaccard-links")
+        tested = tested.unionByName(rest)
+    else:
         labels = components(links).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
 
     of_class = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least_id = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = of_class.join(least_id, "comp").select("cls", "component_id")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("cls"))
-    out = docs.withColumn("cls", own).join(named, "cls", "left")
+    out = docs.select("id", "n", own.alias("cls")).join(named, "cls", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -85,7 +85,9 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(none).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("finish", [0, 20, 100_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH", finish)
     chain = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), **dict.fromkeys(range(100, 160), 100)}
