@@ -91,6 +91,13 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
+def _close(p: np.ndarray, q: np.ndarray, total: int, percent: int) -> bool:
+    """Whether sets with these sketches and this sum of sizes may link."""
+    size = min(len(p), len(q))
+    differ = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
+    return total - differ >= 2 * pair_overlap(total, 0, percent)
+
+
 def _fingerprint(s: np.ndarray) -> int:
     """The class of a set."""
     return int(mix(mix(s ^ _MARK).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
@@ -191,10 +198,7 @@ def _can_link(percent: int):
     """Over (a, b, pn, qn, ps, qs): the pairs that sizes and sketches allow, with the total of the sizes."""
 
     def keep(row) -> bool:
-        p, q = np.frombuffer(row.ps, np.uint8), np.frombuffer(row.qs, np.uint8)
-        size, total = min(len(p), len(q)), row.pn + row.qn
-        differ = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
-        return total - differ >= 2 * pair_overlap(row.pn, row.qn, percent)
+        return _close(np.frombuffer(row.ps, np.uint8), np.frombuffer(row.qs, np.uint8), row.pn + row.qn, percent)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -233,6 +237,7 @@ def _cross_pairs(percent: int):
     def pairs(rows: pd.DataFrame, tile: np.ndarray) -> pd.DataFrame:
         cls, comp, n, block, cross = (rows[c].to_numpy() for c in ("cls", "comp", "n", "block", "cross"))
         maps = rows[bits].to_numpy(np.int64).view(np.uint64)
+        sketches = [np.frombuffer(x, np.uint8) for x in rows["sketch"]]
         a, b, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
         while step < len(rows) and (near := tile[step:] == tile[:-step]).any():
             at = np.flatnonzero(near & (comp[step:] != comp[:-step]) & (~cross[step:] | (block[step:] != block[:-step])))
@@ -240,6 +245,7 @@ def _cross_pairs(percent: int):
             total = n[at] + n[at + step]
             differ = np.bitwise_count(maps[at] ^ maps[at + step]).sum(axis=1, dtype=np.int64)
             at = at[total - differ >= 2 * -(-total * percent // (100 + percent))]
+            at = at[[_close(sketches[i], sketches[i + step], int(n[i] + n[i + step]), percent) for i in at.tolist()]] if len(at) else at
             a.append(np.minimum(cls[at], cls[at + step]))
             b.append(np.maximum(cls[at], cls[at + step]))
             step += 1
@@ -271,7 +277,7 @@ def _untested(every: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "g").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("key", "cls", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiles = dealt.join(classes.drop("rep", "sketch"), "cls").withColumn("cross", F.col("i") != F.col("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = dealt.join(classes.drop("rep"), "cls").withColumn("cross", F.col("i") != F.col("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return tiles.mapInPandas(_cross_pairs(percent), "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
 
 
