@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STATE, LANES, RATE, CLASSES = 16, 256, 0.1, 48
+STATE, LANES, RATE, CLASSES = 16, 256, 0.1, 64
 #: Steps of one backward pass, and of one piece of scoring.
 WINDOW, STRETCH = 32, 64
 
