@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import only, written
 from .shingles import mix, shingle_sets
 
 #: Shingles that count as frequent: at most so many, seen so often in a block of texts.
@@ -123,6 +123,7 @@ def _summary(df: DataFrame, k: int) -> DataFrame:
     bits = [f"b{i}" for i in range(WORDS)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         held: list[np.ndarray] = []
         size = 0
 
@@ -183,6 +184,7 @@ def _listed(df: DataFrame, k: int, percent: int, x: int, frequent: np.ndarray, p
         return np.concatenate([*out, s[:head]]), np.concatenate([np.ones(subsets, np.int64), dealt[:head]])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         seen: set[int] = set()
         for batch in batches:
             own, part, classes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

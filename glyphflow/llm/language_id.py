@@ -10,8 +10,9 @@ are gathered and summed by row.
 Defined cases: ``und`` with score 0 for a null text, a text without a letter, and
 for all texts if there is no labelled training row; rows with a null label are
 scored but not learnt from; ties go to the first language in alphabetical order;
-repeated rows count as often as they occur; other columns are ignored. Texts are
-read whole, in blocks of bounded size.
+repeated rows count as often as they occur; a null id is carried like any other;
+an empty table gives an empty result; other columns are ignored, whatever their
+names. Texts, very long ones too, are read whole, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import only
+
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, 3, 0.1
-#: More labels than this are refused: the matrix would outgrow its stated bound (1000 x 32768 doubles).
-MAX_LANGUAGES = 1000
+#: More labels than this are refused: the matrix would outgrow its stated bound (200 x 32768 doubles).
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _PAD = " " * (ORDERS - 1)
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS, SLICE_ROWS = 1 << 19, 1024
 
 
 def hashed_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -79,9 +83,10 @@ def train(df: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray,
 
     labelled = df.select(F.col(text).alias("t"), F.col(label).alias("lang")).where("t is not null and lang is not null")
     counts = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.limit(MAX_LANGUAGES * (BUCKETS + 1)).toPandas()
+    most = MAX_LANGUAGES * (BUCKETS + 1)
+    found = counts.limit(most + 1).toPandas()
     langs = sorted(found["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
+    if len(langs) > MAX_LANGUAGES or len(found) > most:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     matrix, prior = np.full((len(langs), BUCKETS), SMOOTHING), np.ones(len(langs))
     for k, lang in enumerate(langs):
@@ -108,25 +113,35 @@ def score_texts(texts: list[str], prior: np.ndarray, matrix: np.ndarray) -> tupl
     return best, share
 
 
-def identify_languages(df: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ``key``, the ``carry`` columns, lang_pred and score.
+def language_of(df: DataFrame, training: Column | None = None, text: str = "text", label: str = "lang") -> Column:
+    """A struct of lang_pred and score for the rows of ``df``, from a model trained on it.
 
-    ``training`` selects the rows to learn from (default: all). The label of a
-    row is never an input of its prediction.
+    ``training`` selects the rows to learn from (default: all). Only the text goes
+    to Python, all other columns stay where they are; the label of a row is never
+    an input of its prediction.
     """
     langs, prior, matrix = train(df.where(training) if training is not None else df, text, label)
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t or "" for t in frame["_text"]]
-            known = np.array([bool(langs and _LETTER.search(t)) for t in texts], bool)
-            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if known.any():
-                best, share = score_texts([t for t, k in zip(texts, known, strict=True) if k], prior, matrix)
-                pred[known], score[known] = np.array(langs, object)[best], share
-            yield frame.drop(columns="_text").assign(_lang_pred=pred, _score=score)
-
-    rows = df.select(key, *carry, F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema]
-    out = rows.mapInPandas(predict, ", ".join([*kinds, "_lang_pred string", "_score double"]))
-    return out.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only()
+        for batch in batches:
+            pred, score = [], []
+            for at in range(0, len(batch), SLICE_ROWS):
+                texts = [t or "" for t in batch.slice(at, SLICE_ROWS).to_pylist()]
+                known = [k for k, t in enumerate(texts) if langs and _LETTER.search(t)]
+                names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                if known:
+                    for k, best, share in zip(known, *score_texts([texts[k] for k in known], prior, matrix), strict=True):
+                        names[k], shares[k] = langs[best], float(share)
+                pred += names
+                score += shares
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    # Not deterministic to the optimizer only, so that it is never run twice for a row.
+    return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()(F.col(text))
+
+
+def identify_languages(df: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """Per row: ``key``, lang_pred and score; see ``language_of``."""
+    found = df.select(F.col(key).alias("id"), language_of(df, training, text, label).alias("found"))
+    return found.select(F.col("id").alias(key), "found.lang_pred", "found.score")

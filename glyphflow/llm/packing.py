@@ -10,7 +10,7 @@ partition's lengths or one group of at most ``GROUP_ROWS`` items.
 Defined cases: a null text is the empty text, which is one piece with the end id
 alone; texts of up to ``capacity`` ids are never cut; ties take the fuller, then
 the older bin; repeated rows are packed like any others; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; a null id is carried like any other; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TwoGenerations, written
+from .shared import TwoGenerations, only, written
 
 #: Items of one group of a later round, and pieces that one local packing takes.
 GROUP_ROWS, LOCAL_ROWS = 12_000, 100_000
@@ -41,22 +41,24 @@ _WORDS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
 
 class WordIds(TwoGenerations):
-    """The ids of a white-space-free piece as little-endian 32-bit bytes."""
+    """The ids of a white-space-free piece as little-endian 32-bit bytes; only lower-case words and odd pieces are stored."""
 
     def __init__(self, tokenizer):
         super().__init__(KEEP_ENTRIES, KEEP_CHARS)
         self.tokenizer = tokenizer
 
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and (low := word.lower()) != word:
+            return self[low]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return super().__missing__(word)
+
     def make(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             # Lower-case letters alone pass the normaliser and the byte map unchanged.
-            low = word.lower()
-            ids = self[low] if low != word else np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+            return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
         """The ids of a whole text. The vocabulary drops white space, so no token spans it."""
@@ -112,6 +114,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(tokenizer_path)
+        only(words)
         for frame in frames:
             rows = []
             for k, text in zip(frame["k"], frame["t"], strict=True):

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 CONTEXT_CHARS = 32
 _MAIL = "A-Za-z0-9._%+-"
 #: kind: (a quick test that every text with such a span passes, the pattern).
@@ -130,8 +132,9 @@ def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
 
     Of overlapping spans the one that begins first is named and all are removed; null stays null.
     """
-    found = with_spans(df, text, "_pii")
-    spans = F.array_sort(F.transform(F.filter("_pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    name = fresh(df, "_pii")
+    found = with_spans(df, text, name)
+    spans = F.array_sort(F.transform(F.filter(name, lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     body = F.col(text)
 
     def step(a: Column, s: Column) -> Column:
@@ -139,4 +142,4 @@ def redacted(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(body, a["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("_pii") > 0, clean).otherwise(body)).drop("_pii").select(*df.columns)
+    return found.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(body)).select(*(F.col(f"`{c}`") for c in df.columns))

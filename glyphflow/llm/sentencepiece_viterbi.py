@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TwoGenerations
+from .shared import TwoGenerations, only
 
 MARK = "▁"
 _CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -112,6 +112,7 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
+        only(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

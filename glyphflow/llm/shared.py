@@ -19,9 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder of this machine stands in.
+    (local tests) a temporary folder of this machine stands in; on a cluster, where
+    the executors would not see it, that is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or os.path.join(tempfile.gettempdir(), "glyphflow-checkpoints")
 
 
@@ -37,11 +40,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name with which no column of ``df`` begins."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def doc_bucket(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the fold of a document."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: The stores of this worker process.
+_STORES: list[TwoGenerations] = []
+
+
+def only(store: TwoGenerations | None = None) -> None:
+    """Empty all other stores of this worker: a worker may run the tasks of several operators in turn."""
+    for other in _STORES:
+        if other is not store and (other or other.older):
+            other.clear()
+            other.older = {}
+
+
 class TwoGenerations(dict):
     """A dictionary filled on demand by ``make``, with at most twice ``entries`` entries.
 
@@ -52,6 +74,7 @@ class TwoGenerations(dict):
     def __init__(self, entries: int, longest: int):
         super().__init__()
         self.entries, self.longest, self.older = entries, longest, {}
+        _STORES.append(self)
 
     def make(self, key: str):
         raise NotImplementedError

@@ -8,7 +8,7 @@ worker in a dictionary of bounded size, which changes speed only.
 
 Defined cases: null text is the empty text (0 bytes, 0 tokens); a special
 string inside a text is one token, as the library has it by default; repeated
-rows repeat; other columns are ignored, whatever their names. A long run without
+rows repeat; an empty table gives an empty result; other columns are ignored, whatever their names. A long run without
 white space costs n log n.
 """
 
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TwoGenerations
+from .shared import TwoGenerations, only
 
 #: White space by the Unicode property, for use inside a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -108,6 +108,7 @@ def token_counts(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, special = vocabulary(vocabulary_path)
+        only(counts)
         for frame in frames:
             yield pd.DataFrame({"k": frame["k"], "n_tokens": [count_tokens(t or "", counts, special) for t in frame["t"]], "n_bytes": frame["n_bytes"]})
 
