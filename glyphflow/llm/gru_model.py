@@ -22,6 +22,10 @@ class Shape:
     symbols: int
     starts: np.ndarray
 
+    def __post_init__(self):
+        #: The class of each symbol.
+        self.class_of = np.repeat(np.arange(len(self.starts) - 1, dtype=np.uint8), np.diff(self.starts))
+
     def sizes(self) -> dict[str, tuple[int, ...]]:
         m, c = self.symbols, len(self.starts) - 1
         return {"gates": (m, 3 * STATE), "recur": (STATE, 3 * STATE), "class_w": (c, STATE), "class_b": (c,), "word_w": (m, STATE), "word_b": (m,)}
@@ -94,95 +98,133 @@ class Lanes:
 
 
 def _forward(p: dict, lanes: Lanes, t0: int, steps: int, h: np.ndarray) -> tuple[dict, np.ndarray]:
+    """What the backward pass needs of each step, and the last state."""
     b, s = h.shape
-    kept = {k: np.empty((steps, b, s), np.float32) for k in ("prev", "z", "r", "n", "un", "h")}
+    kept = {k: np.empty((steps, b, s), np.float32) for k in ("prev", "n", "un", "h")}
+    zr = np.empty((steps, b, 2 * s), np.float32)
+    given = p["gates"][lanes.source[t0 : t0 + steps, :b]]
+    keep = lanes.keep[t0 : t0 + steps, :b, None]
     for t in range(steps):
-        h = h * lanes.keep[t0 + t, :b, None]
-        gates, rec = p["gates"][lanes.source[t0 + t, :b]], h @ p["recur"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * s] + rec[:, : 2 * s])))
-        z, r, un = zr[:, :s], zr[:, s:], rec[:, 2 * s :]
-        n = np.tanh(gates[:, 2 * s :] + r * un)
-        kept["prev"][t], kept["z"][t], kept["r"][t], kept["n"][t], kept["un"][t] = h, z, r, n, un
-        h = n + z * (h - n)
-        kept["h"][t] = h
-    return kept, h
-
-
-def _softmax(logits: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The shares of each row, if asked, and the logarithm of its sum of exponentials."""
+        h = np.multiply(h, keep[t], out=kept["prev"][t])
+        rec = h @ p["recur"]
+        gate = np.add(given[t, :, : 2 * s], rec[:, : 2 * s], out=zr[t])
+        np.exp(np.negative(gate, out=gate), out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        kept["un"][t] = rec[:, 2 * s :]
+        n = np.multiply(gate[:, s:], rec[:, 2 * s :], out=kept["n"][t])
+        n += given[t, :, 2 * s :]
+        np.tanh(n, out=n)
+        now = np.subtract(h, n, out=kept["h"][t])
+        now *= gate[:, :s]
+        now += n
+        h = now
+    return kept | {"z": zr[:, :, :s], "r": zr[:, :, s:]}, h
+
+
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row (in place, up to a factor a row), their sums; the logarithm of the sums is of the rows as given."""
+    ones = np.ones(logits.shape[1], np.float32)
+    if np.abs(logits).max(initial=0) < 60:
+        np.exp(logits, out=logits)
+        total = logits @ ones
+        return total, np.log(total)
     top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(axis=1, keepdims=True)
-    if shares:
-        e /= total
-    return e, (top + np.log(total))[:, 0]
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits @ ones
+    return total, top[:, 0] + np.log(total)
 
 
 def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-likelihood of each target; with ``grads``, also the gradient of the negative sum in the state."""
-    cls = np.searchsorted(shape.starts, target, side="right") - 1
+    order = np.argsort(shape.class_of[target], kind="stable")
+    x, target = state[order], target[order]
+    cls = shape.class_of[target]
     rows = np.arange(len(target))
-    logits = state @ p["class_w"].T + p["class_b"]
-    share, total = _softmax(logits, grads is not None)
-    loglik = logits[rows, cls] - total
+    logits = x @ p["class_w"].T
+    logits += p["class_b"]
+    hit = logits[rows, cls]
+    total, log_total = _exponentials(logits)
+    loglik = hit - log_total
     back = None
     if grads is not None:
-        share[rows, cls] -= 1
-        back = share @ p["class_w"]
-        grads["class_w"], grads["class_b"] = share.T @ state, share.sum(axis=0)
+        logits /= total[:, None]
+        logits[rows, cls] -= 1
+        back = logits @ p["class_w"]
+        grads["class_w"], grads["class_b"] = logits.T @ x, logits.sum(axis=0)
         grads["word_w"], grads["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(len(shape.starts)))
-    for c in np.flatnonzero(np.diff(bounds)):
-        own = order[bounds[c] : bounds[c + 1]]
-        a, b = shape.starts[c], shape.starts[c + 1]
-        w, x, hit = p["word_w"][a:b], state[own], target[own] - a
-        logits = x @ w.T + p["word_b"][a:b]
-        share, total = _softmax(logits, grads is not None)
-        k = np.arange(len(own))
-        loglik[own] += logits[k, hit] - total
+    bounds = np.searchsorted(cls, np.arange(len(shape.starts)))
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        i, j, a, b = int(bounds[c]), int(bounds[c + 1]), int(shape.starts[c]), int(shape.starts[c + 1])
+        if b - a == 1:  # the only symbol of its class
+            continue
+        w, own, hit, k = p["word_w"][a:b], x[i:j], target[i:j] - a, rows[: j - i]
+        logits = own @ w.T
+        logits += p["word_b"][a:b]
+        loglik[i:j] += logits[k, hit]
+        total, log_total = _exponentials(logits)
+        loglik[i:j] -= log_total
         if grads is not None:
-            share[k, hit] -= 1
-            back[own] += share @ w
-            grads["word_w"][a:b], grads["word_b"][a:b] = share.T @ x, share.sum(axis=0)
-    return loglik, back
+            logits /= total[:, None]
+            logits[k, hit] -= 1
+            back[i:j] += logits @ w
+            np.matmul(logits.T, own, out=grads["word_w"][a:b])
+            grads["word_b"][a:b] = logits.sum(axis=0)
+    out = np.empty_like(loglik)
+    out[order] = loglik
+    if back is None:
+        return out, None
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return out, unsorted
+
+
+def gradients(p: dict, shape: Shape, lanes: Lanes, t0: int, steps: int, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """One window of truncated backpropagation: mean gradients of the dense weights, (symbols, gradients) of the gates, the last state."""
+    b, s = h.shape
+    f, last = _forward(p, lanes, t0, steps, h)
+    target = lanes.target[t0 : t0 + steps, :b].ravel()
+    used = np.flatnonzero(target >= 0)
+    grads: dict[str, np.ndarray] = {}
+    back = np.zeros((steps * b, s), np.float32)
+    back[used] = _output(p, shape, f["h"].reshape(-1, s)[used], target[used], grads)[1]
+    back = back.reshape(steps, b, s)
+    z, r, n, keep, turned = f["z"], f["r"], f["n"], lanes.keep[t0 : t0 + steps, :b, None], np.ascontiguousarray(p["recur"].T)
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (f["prev"] - n) * z * (1 - z), f["un"] * r * (1 - r)
+    d_in, d_rec, dh = np.empty((steps, b, 3 * s), np.float32), np.empty((steps, b, 3 * s), np.float32), np.zeros((b, s), np.float32)
+    for t in range(steps - 1, -1, -1):
+        dh += back[t]
+        rec = d_rec[t]
+        dn = np.multiply(dh, to_n[t], out=d_in[t, :, 2 * s :])
+        np.multiply(dh, to_z[t], out=rec[:, :s])
+        np.multiply(dn, to_r[t], out=rec[:, s : 2 * s])
+        np.multiply(dn, r[t], out=rec[:, 2 * s :])
+        dh *= z[t]
+        dh += rec @ turned
+        dh *= keep[t]
+    d_in[:, :, : 2 * s] = d_rec[:, :, : 2 * s]
+    grads["recur"] = f["prev"].reshape(-1, s).T @ d_rec.reshape(-1, 3 * s)
+    scale = np.float32(1 / max(len(used), 1))
+    for g in grads.values():
+        g *= scale
+    source = lanes.source[t0 : t0 + steps, :b].ravel()
+    order = np.argsort(source.astype(np.uint16), kind="stable") if shape.symbols <= 1 << 16 else np.argsort(source, kind="stable")
+    own = source[order]
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return grads, own[heads], np.add.reduceat(d_in.reshape(-1, 3 * s)[order], heads, axis=0) * scale, last
 
 
 def train(p: dict, shape: Shape, texts: list[np.ndarray], first: int, memory: dict) -> None:
     """One pass of truncated backpropagation over these texts, in place; ``memory`` keeps the squared gradients."""
     lanes = Lanes(texts, first)
     h = np.zeros((lanes.target.shape[1], STATE), np.float32)
-    s = STATE
     for t0, steps, b in lanes.windows(WINDOW):
-        f, h = _forward(p, lanes, t0, steps, h[:b])
-        target = lanes.target[t0 : t0 + steps, :b].ravel()
-        used = np.flatnonzero(target >= 0)
-        grads: dict[str, np.ndarray] = {}
-        back = np.zeros((steps * b, s), np.float32)
-        back[used] = _output(p, shape, f["h"].reshape(-1, s)[used], target[used], grads)[1]
-        back = back.reshape(steps, b, s)
-        d_in, d_rec, dh = np.empty((steps, b, 3 * s), np.float32), np.empty((steps, b, 3 * s), np.float32), np.zeros((b, s), np.float32)
-        for t in range(steps - 1, -1, -1):
-            dh = dh + back[t]
-            z, r, n, prev = f["z"][t], f["r"][t], f["n"][t], f["prev"][t]
-            dn = dh * (1 - z) * (1 - n * n)
-            d_in[t, :, :s] = dh * (prev - n) * z * (1 - z)
-            d_in[t, :, s : 2 * s] = dn * f["un"][t] * r * (1 - r)
-            d_in[t, :, 2 * s :] = dn
-            d_rec[t] = d_in[t]
-            d_rec[t, :, 2 * s :] *= r
-            dh = (dh * z + d_rec[t] @ p["recur"].T) * lanes.keep[t0 + t, :b, None]
-        grads["recur"] = f["prev"].reshape(-1, s).T @ d_rec.reshape(-1, 3 * s)
-        scale = np.float32(1 / max(len(used), 1))
+        grads, rows, gates, h = gradients(p, shape, lanes, t0, steps, h[:b])
         for k, g in grads.items():
-            _step(p[k], memory[k], g * scale)
-        source = lanes.source[t0 : t0 + steps, :b].ravel()
-        order = np.argsort(source, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(source[order]) != 0]))
-        rows = source[order][heads]
-        g = np.add.reduceat(d_in.reshape(-1, 3 * s)[order], heads, axis=0) * scale
-        memory["gates"][rows] += g * g
-        p["gates"][rows] -= RATE * g / (np.sqrt(memory["gates"][rows]) + 1e-8)
+            _step(p[k], memory[k], g)
+        memory["gates"][rows] += gates * gates
+        p["gates"][rows] -= RATE * gates / (np.sqrt(memory["gates"][rows]) + 1e-8)
 
 
 def _step(p: np.ndarray, memory: np.ndarray, g: np.ndarray) -> None:

@@ -61,9 +61,11 @@ SMALL = 8
 #: Lists with more members than ``DEAL`` are dealt over tasks; a task holds back at most ``HELD`` members of a list.
 DEAL, HELD = 16_384, 65_536
 #: Pairs that a task compares at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 #: Ids up to this number are sent to all executors (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts that a task holds as Python objects at once.
+SLICE_ROWS = 2048
 WORDS = 4
 #: Rounds that emit a forest per tile before the one that emits all pairs left.
 FORESTS = 1
@@ -118,6 +120,12 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(mix(s ^ _MARK).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _summary(df: DataFrame, k: int) -> DataFrame:
     """Per text: id, n, set fingerprint, bitmap; and the shingles frequent in a block of texts with their counts."""
     bits = [f"b{i}" for i in range(WORDS)]
@@ -134,7 +142,7 @@ def _summary(df: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(int(often.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, *[none] * WORDS, pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(len(none), pa.binary())], names=["id", "n", "cls", *bits, "shingle", "c", "sketch"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             n, cls, sketches = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -186,7 +194,7 @@ def _listed(df: DataFrame, k: int, percent: int, x: int, frequent: np.ndarray, p
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             own, part, classes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 if len(s):
@@ -302,7 +310,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     few = needed.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only()
+        for batch in _slices(batches):
             rows = list(shingle_sets(batch.column(1).to_pylist(), k))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], names=["cls", "shingles"])
 

@@ -14,7 +14,9 @@
    word takes part in.
 
 Defined cases: null text is the empty text (one end token); without training
-texts every token scores 0; repeated rows repeat; other columns are ignored.
+texts every token scores 0; repeated rows repeat; a null id is held out if its
+fold is null, and carried; very long texts are scored whole; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru_model as gru
-from .shared import written
+from .shared import only, written
 
 HEAD, SYMBOLS, SMOOTH = 65_000, 4096, 0.1
 #: Shares of the training texts (by hash of the text) that the rounds use; together all of them.
@@ -67,15 +69,20 @@ def _most_frequent(vocabulary: DataFrame) -> pd.DataFrame:
 
 
 def _encode(head: dict[bytes, int]):
+    """Head numbers of each text, and its other words with how often it holds them."""
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only()
         for frame in frames:
-            ids, others = [], []
+            ids, others, times = [], [], []
             for text in frame["text"]:
                 words = tokens(text)
                 own = [head.get(w, OTHER) for w in words]
                 ids.append(np.array(own, np.uint16).tobytes())
-                others.append([w for w, i in zip(words, own, strict=True) if i == OTHER])
-            yield frame.drop(columns="text").assign(ids=ids, others=others)
+                rare = Counter([w for w, i in zip(words, own, strict=True) if i == OTHER])
+                others.append(list(rare))
+                times.append(list(rare.values()))
+            yield frame.drop(columns="text").assign(ids=ids, others=others, times=times)
 
     return encode
 
@@ -170,7 +177,7 @@ def language_model_scores(df: DataFrame, training: Column, key: str = "doc_id",
     head = _most_frequent(vocabulary)
     numbers = {bytes(w): k for k, w in enumerate(head["word"])}
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(1000)))
-    encoded = written(numbered.mapInPandas(_encode(numbers), f"id {kind}, learn boolean, row long, part long, ids binary, others array<binary>"), "lm-encoded")
+    encoded = written(numbered.mapInPandas(_encode(numbers), f"id {kind}, learn boolean, row long, part long, ids binary, others array<binary>, times array<long>"), "lm-encoded")
 
     model, low = Model(head, total["n"], total["v"]), 0
     for high in (int(1000 * r) for r in ROUNDS):
@@ -184,8 +191,9 @@ def language_model_scores(df: DataFrame, training: Column, key: str = "doc_id",
 
     fields = "n_tokens long, head_known long, head_log double, rest_log double, n_rest long, model_log double"
     scored = encoded.select("id", "learn", "row", "ids").mapInPandas(_scorer(model), f"id {kind}, learn boolean, row long, {fields}")
-    others = encoded.select("row", F.explode("others").alias("word")).join(vocabulary, "word", "left")
-    of_row = others.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("other_log"), F.count("c").alias("other_known"))
+    words = encoded.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("k"))).alias("x")).select("row", "x.word", "x.k")
+    others = words.join(vocabulary, "word", "left")
+    of_row = others.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("other_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("other_known"))
     n, v = total["n"], total["v"]
     whole, rest = float(np.log10(n + SMOOTH * (v + 1))), float(np.log10(model.rest_tokens + SMOOTH * (model.rest_words + 1)))
     other_log = F.coalesce("other_log", F.lit(0.0))

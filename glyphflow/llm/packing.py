@@ -162,7 +162,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, length: str = "length
         return pd.DataFrame({"bin_id": out["bin_id"], "parent": out["bin"].map(first), "shift": out["bin_offset"], "used": out["bin_used"]})
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names, length).schema]
-    placed = written(pieces.select(*names, length).mapInPandas(local, ", ".join([*kinds, "bin long", "bin_offset long", "bin_used long"])), "packing")
+    # Written first: a task then holds one Python worker, not the tokenizer's and the packer's.
+    pieces = written(pieces.select(*names, length), "pieces")
+    placed = written(pieces.mapInPandas(local, ", ".join([*kinds, "bin long", "bin_offset long", "bin_used long"])), "packing")
     items = placed.where((F.col("bin_offset") == 0) & (F.col("bin_used") < capacity - slack)).select(F.col("bin").alias("bin_id"), F.col("bin_used").alias("used"))
     count, level, moves = items.count(), 0, None
     while count > 1:
