@@ -35,7 +35,7 @@ GROUP_ROWS, LOCAL_ROWS = 12_000, 100_000
 NEARLY_FULL = 1 / 256
 #: A round that joins less than this share of its items is the last.
 WORTH = 0.02
-KEEP_ENTRIES, KEEP_CHARS = 500_000, 48
+KEEP_ENTRIES, KEEP_CHARS = 250_000, 48
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -43,6 +43,8 @@ _WORDS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 class WordIds(TwoGenerations):
     """The ids of a white-space-free piece as little-endian 32-bit bytes; only lower-case words and odd pieces are stored."""
 
+    MARKS = 1 << 21
+
     def __init__(self, tokenizer):
         super().__init__(KEEP_ENTRIES, KEEP_CHARS)
         self.tokenizer = tokenizer

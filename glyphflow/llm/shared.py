@@ -67,13 +67,17 @@ def only(store: TwoGenerations | None = None) -> None:
 class TwoGenerations(dict):
     """A dictionary filled on demand by ``make``, with at most twice ``entries`` entries.
 
-    When the newer half is full the older half goes; what is still in use moves
+    With ``MARKS`` a key is stored when it is asked for again, so that keys that occur
+    once take no room. When the newer half is full the older half goes; what is still in use moves
     over on its next use. It changes speed only.
     """
 
+    MARKS = 0
+
     def __init__(self, entries: int, longest: int):
         super().__init__()
         self.entries, self.longest, self.older = entries, longest, {}
+        self.asked, self.marked = bytearray(self.MARKS), 0
         _STORES.append(self)
 
     def make(self, key: str):
@@ -83,6 +87,13 @@ class TwoGenerations(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+            mark = hash(key) & (self.MARKS - 1)
+            if self.MARKS and not self.asked[mark]:
+                self.asked[mark] = 1
+                self.marked += 1
+                if self.marked > self.MARKS // 2:
+                    self.asked, self.marked = bytearray(self.MARKS), 0
+                return value
         if len(key) <= self.longest:
             if len(self) >= self.entries:
                 self.older = dict(self)
