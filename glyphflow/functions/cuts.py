@@ -81,6 +81,19 @@ def _promoted(inner: Column, left: Column, right: Column, mode: str, ratio: floa
     return F.when((F.size(inner) >= 2) & narrow, promoted).otherwise(as_is)
 
 
+def has_ink(interval: Column, ink: Column, height: Column, steps: Column, least_columns: float = 0.035, least_pixels: float = 0.003) -> Column:
+    """Whether an interval of ``steps`` score columns has ink; ``ink`` counts the foreground of each image column.
+
+    Enough columns with at least 2.5 % of the height, or enough pixels, are ink; an interval without image columns has none.
+    """
+    w = F.size(ink)
+    left, right = map_boundary(interval["start"], steps, w), map_boundary(interval["end"], steps, w)
+    own = F.slice(ink, left + 1, F.greatest(right - left, F.lit(0)))
+    least = F.greatest(F.lit(1), half_even(height * 0.025))
+    columns, pixels = F.size(F.filter(own, lambda n: n >= least)), F.aggregate(own, F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.when(right > left, (columns / (right - left) >= least_columns) | (pixels / ((right - left) * height) >= least_pixels)).otherwise(False)
+
+
 def trim_empty_edges(intervals: Column, has_ink: Column) -> Column:
     """Intervals without ink go at both ends; ``has_ink`` is the array of flags beside them."""
     first, last = F.array_position(has_ink, F.lit(True)), F.array_position(F.reverse(has_ink), F.lit(True))

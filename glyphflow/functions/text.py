@@ -45,6 +45,17 @@ def encode(text: Column, alphabet: Column, length: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, F.greatest(F.size(ids), F.lit(length)))
 
 
+def only_known(text: Column | str, alphabet: str) -> Column:
+    """The text without the characters outside the alphabet."""
+    return F.regexp_replace(text, "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in alphabet) + "]", "")
+
+
+def encode_text(text: Column, alphabet: str, length: int) -> Column:
+    """As ``encode``, for an alphabet that is given as text: one search per character instead of one comparison per class."""
+    ids = F.transform(chars(text), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, F.greatest(F.size(ids), F.lit(length)))
+
+
 #: How single characters are shown (fixed values).
 SHOWN = {" ": "<space>", "\t": "<tab>", "\n": "<newline>"}
 

@@ -91,8 +91,10 @@ def segment(
     return out.withColumn("runs", S.runs(F.col("flags"))).drop("_s")
 
 
-def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | None = None, right: Column | None = None, mode: str = "auto", ratio: float = 0.45, least: int = 2) -> DataFrame:
-    """The intervals between the bounds and the cuts, with narrow edges merged.
+def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | None = None, right: Column | None = None, mode: str = "auto", ratio: float = 0.45, least: int = 2, ink: tuple[str, str] | None = None) -> DataFrame:
+    """The intervals between the bounds and the cuts; edges without ink go, narrow ones are merged.
+
+    ``ink`` names the columns with the foreground count of each image column and the image height.
 
     Each step is a column of its own, so that no expression holds another many times.
     """
@@ -100,6 +102,9 @@ def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | Non
     out = out.withColumn("_b", C.promote_edges(F.col(cuts), F.col("_left"), F.col("_right"), mode, ratio, least))
     out = out.withColumn("_e", F.array_sort(F.array_distinct(F.concat(F.array("_b.left"), F.col("_b.cuts"), F.array("_b.right")))))
     out = out.withColumn("_iv", F.filter(C.pairs(F.col("_e")), lambda p: p["end"] > p["start"]))
+    if ink:
+        out = out.withColumn("_ink", F.transform("_iv", lambda iv: C.has_ink(iv, F.col(ink[0]), F.col(ink[1]), F.col("_right"))))
+        out = out.withColumn("_iv", C.trim_empty_edges(F.col("_iv"), F.col("_ink"))).drop("_ink")
     for _ in range(2):  # from the left, then from the right
         out = out.withColumn("_iv", F.reverse(C.merge_narrow_start(F.col("_iv"), least)))
     return out.withColumnRenamed("_iv", "intervals").drop("_left", "_right", "_b", "_e")
@@ -116,7 +121,7 @@ def interval_classes(df: DataFrame, key: str = "line_id", probs: str = "p", inte
     return rows.select(key, "i", F.col("iv.start").alias("start"), F.col("iv.end").alias("end"), S.top_k(F.col("_mean"), k).alias("candidates"))
 
 
-def decode_with_cuts(df: DataFrame, alphabet: Column, key: str = "line_id", probs: str = "p", cuts: str = "cut_positions", widths: tuple[str, str] = ("input_width", "cut_width"), mode: str = "auto", fraction: float = 0.6) -> DataFrame:
+def decode_with_cuts(df: DataFrame, alphabet: Column, key: str = "line_id", probs: str = "p", cuts: str = "cut_positions", widths: tuple[str, str] = ("input_width", "cut_width"), mode: str = "auto", fraction: float = 0.6, ink: tuple[str, str] | None = None) -> DataFrame:
     """K3: (key, text, symbols): cuts are mapped to score columns, edges promoted, and each interval read by its best class.
 
     Lines without an interval that names a class have the empty text.
@@ -125,7 +130,7 @@ def decode_with_cuts(df: DataFrame, alphabet: Column, key: str = "line_id", prob
     source, columns = F.col(widths[0]), F.col(widths[1])
     inputs = F.transform(F.filter(cuts, lambda c: (c >= 0) & (c < columns)), lambda c: C.half_even((c + 0.5) * source / F.nullif(columns, F.lit(0))))
     mapped = df.withColumn("_mapped", F.transform(inputs, lambda c: C.map_boundary(c, source, t)))
-    whole = cut_intervals(mapped, "_mapped", right=t, mode=mode)
+    whole = cut_intervals(mapped, "_mapped", right=t, mode=mode, ink=ink)
     read = interval_classes(whole, key, probs, fraction=fraction).withColumn("top", F.get("candidates", F.lit(0)))
     symbol = F.struct("i", F.get(alphabet, F.col("top.id")).alias("ch"), F.col("top.value").alias("confidence"), "start", "end")
     known = read.where(F.get(alphabet, F.col("top.id")).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(symbol)).alias("symbols"))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 ALPHABET = " " + "".join(map(chr, range(ord("a"), ord("z") + 1))) + "".join(map(chr, range(ord("A"), ord("Z") + 1))) + ".,"
 
 
+#: Line ids of a document: more than a text has characters.
+LINE_IDS = 10_000_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,11 +23,11 @@ def pieces(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """(line_id, doc_id, lang, source, text): every document cut into pieces of up to ``size`` characters of a line."""
     cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(cut).alias("pos", "text"))
-    return docs.select((F.col("doc_id") * 100000 + F.col("pos")).alias("line_id"), "doc_id", "lang", "source", "text")
+    return docs.select((F.col("doc_id") * LINE_IDS + F.col("pos")).alias("line_id"), "doc_id", "lang", "source", "text")
 
 
 def pieces_sql(size: int, name: str = "lines") -> str:
-    return f"""{name} AS (SELECT doc_id * 100000 + pos AS line_id, doc_id, lang, source, text FROM (
+    return f"""{name} AS (SELECT doc_id * {LINE_IDS} + pos AS line_id, doc_id, lang, source, text FROM (
         SELECT doc_id, lang, source, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos
         FROM (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\\n]{{1,{size}}}') AS l FROM documents)))"""
 

@@ -271,6 +271,8 @@ def _rendered(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation turn, cut into pieces of up to 24 ASCII characters and drawn."""
     turns = I.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?"), F.lit(".{1,24}"), F.lit(0))).alias("pos", "text"))
     rows = turns.select(((F.col("conv_id") * 100 + F.col("turn")) * 1000 + F.col("pos")).alias("line_id"), F.trim("text").alias("text")).where("text <> ''")
+    # Dealt out before the kernels: the few bytes of text move, the pixels are made where they are used.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")
     return generate.render(generate.laid_out(rows, padding=4, scale=2), height=24, scale=2)
 
 

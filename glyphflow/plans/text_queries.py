@@ -76,9 +76,8 @@ def space_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 def char_encode(spark: SparkSession, sf: str) -> DataFrame:
     """Known characters of every line as ids, padded to 48."""
-    known = F.array_join(F.filter(T.chars(F.col("text")), lambda c: F.array_contains(_alphabet(), c)), "")
-    rows = I.lines(spark, sf).select("line_id", known.alias("t"))
-    return rows.select("line_id", F.array_join(T.encode(F.col("t"), _alphabet(), 48), " ").alias("ids"), F.char_length("t").cast("long").alias("length"))
+    rows = I.lines(spark, sf).select("line_id", T.only_known("text", I.ALPHABET).alias("t"))
+    return rows.select("line_id", F.array_join(T.encode_text(F.col("t"), I.ALPHABET, 48), " ").alias("ids"), F.char_length("t").cast("long").alias("length"))
 
 
 def text_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,24 +106,24 @@ def line_text_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.chunk_manifest(dataset.with_chunks(I.lines(spark, sf), 1_000_000))
+    return dataset.chunk_manifest(dataset.with_chunks(I.lines(spark, sf), 10 * I.LINE_IDS))
 
 
 def global_index_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk (ten documents) and place of each order key, modulo the number of lines, and of its negative."""
-    manifest = dataset.chunk_manifest(dataset.with_chunks(I.lines(spark, sf), 1_000_000))
+    manifest = dataset.chunk_manifest(dataset.with_chunks(I.lines(spark, sf), 10 * I.LINE_IDS))
     total = F.broadcast(manifest.agg(F.max("end").alias("total")))
     keys = I.table(spark, sf, "orders").crossJoin(total).select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % F.col("total")).otherwise(-(F.col("o_orderkey") % F.col("total")) - 1).alias("index"))
     return dataset.lookup(manifest, keys.distinct())
 
 
 def chunk_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dataset.with_chunks(I.lines(spark, sf).select("line_id"), 1_000_000)
+    rows = dataset.with_chunks(I.lines(spark, sf).select("line_id"), 10 * I.LINE_IDS)
     return dataset.chunk_batches(rows, 256, 7, drop_last=True).groupBy("chunk_id", "batch").agg(F.count("*").alias("n"), F.min("line_id").alias("least"), F.max("line_id").alias("most"))
 
 
 def sampled_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dataset.with_chunks(I.lines(spark, sf).select("line_id"), 1_000_000)
+    rows = dataset.with_chunks(I.lines(spark, sf).select("line_id"), 10 * I.LINE_IDS)
     chunks = dataset.sampled_chunks(spark, dataset.chunk_manifest(rows), 64, 11)
     return dataset.sampled_batches(rows, chunks, 128, 11)
 
@@ -141,14 +140,14 @@ def background_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as crops that need a part of at least their size as background."""
     requests = I.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), F.col("l_quantity").cast("int").alias("w"), F.col("l_linenumber").cast("int").alias("h"))
     grounds = I.table(spark, sf, "part").select(F.col("p_partkey").alias("b"), F.col("p_size").alias("bw"), (F.col("p_size") % 10).alias("bh"))
-    return generate.fitting_backgrounds(requests, grounds, 9).join(F.broadcast(grounds), "b", "left").select("line_id", "w", "h", F.col("b").isNotNull().alias("found"), F.coalesce((F.col("bw") >= F.col("w")) & (F.col("bh") >= F.col("h")), F.lit(True)).alias("fits"), F.coalesce("largest", F.lit(0)).alias("largest"))
+    return generate.fitting_backgrounds(requests, grounds, 9).join(grounds, "b", "left").select("line_id", "w", "h", F.col("b").isNotNull().alias("found"), F.coalesce((F.col("bw") >= F.col("w")) & (F.col("bh") >= F.col("h")), F.lit(True)).alias("fits"), F.coalesce("largest", F.lit(0)).alias("largest"))
 
 
 def epoch_loss(spark: SparkSession, sf: str) -> DataFrame:
     from glyphflow.operators.losses import epoch_loss as run
 
     items = I.table(spark, sf, "lineitem").select("l_returnflag", F.floor(F.col("l_orderkey") / 32).alias("batch"), F.col("l_discount").cast("double").alias("loss"))
-    out = run(items, "batch", "loss", ["l_returnflag"], 200)
+    out = run(items, "batch", "loss", ["l_returnflag"])
     return out.select("l_returnflag", F.round("loss", 8).alias("loss"), "batches")
 
 
@@ -182,7 +181,7 @@ _COVER = """docs AS (SELECT doc_id AS source, coalesce(text, '') AS text FROM do
     provided AS (SELECT DISTINCT source, ch FROM (SELECT source, unnest(str_split(text, '')) AS ch FROM docs WHERE text <> '')),
     required AS (SELECT DISTINCT unnest(str_split(lower(text), '')) AS ch FROM benchmark),
     missing AS (SELECT source, ch FROM (SELECT source FROM docs) CROSS JOIN required EXCEPT SELECT source, ch FROM provided)"""
-_MANIFEST = """counts AS (SELECT line_id // 1000000 AS chunk_id, count(*) AS n FROM lines GROUP BY ALL),
+_MANIFEST = f"""counts AS (SELECT line_id // {10 * I.LINE_IDS} AS chunk_id, count(*) AS n FROM lines GROUP BY ALL),
     manifest AS (SELECT chunk_id, n, (sum(n) OVER (ORDER BY chunk_id))::BIGINT AS "end" FROM counts)"""
 _METRICS = """count(*) AS total, sum((error = '')::INT)::BIGINT AS recognized, sum(exact_match)::BIGINT AS exact"""
 
@@ -224,18 +223,18 @@ ORACLES = {
     "global_index_lookup": f"""WITH {I.LINES}, {_MANIFEST}, k AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % t ELSE -(o_orderkey % t) - 1 END AS index FROM orders, (SELECT max("end") AS t FROM manifest)),
         r AS (SELECT index, CASE WHEN index < 0 THEN index + (SELECT max("end") FROM manifest) ELSE index END AS row FROM k)
         SELECT index, chunk_id, row - ("end" - n) AS local FROM r JOIN manifest ON row >= "end" - n AND row < "end\"""",
-    "chunk_batches": f"""WITH {I.LINES}, r AS (SELECT line_id, line_id // 1000000 AS chunk_id, row_number() OVER (PARTITION BY line_id // 1000000 ORDER BY md5('7:' || line_id), line_id) - 1 AS rn FROM lines)
+    "chunk_batches": f"""WITH {I.LINES}, r AS (SELECT line_id, line_id // {10 * I.LINE_IDS} AS chunk_id, row_number() OVER (PARTITION BY line_id // {10 * I.LINE_IDS} ORDER BY md5('7:' || line_id), line_id) - 1 AS rn FROM lines)
         SELECT chunk_id, rn // 256 AS batch, count(*) AS n, min(line_id) AS least, max(line_id) AS most FROM r GROUP BY ALL HAVING count(*) = 256""",
     "sampled_batches": f"""WITH {I.LINES}, {_MANIFEST}, d AS (SELECT b AS batch, floor({_draw(11, "b", "'0'")} / 4294967296.0 * (SELECT max("end") FROM manifest)) AS pt FROM range(64) t(b)),
         p AS (SELECT batch, chunk_id FROM d JOIN manifest ON pt >= "end" - n AND pt < "end"),
-        r AS (SELECT batch, line_id, row_number() OVER (PARTITION BY batch ORDER BY md5('11:' || batch || ':' || line_id), line_id) - 1 AS rn, count(*) OVER (PARTITION BY batch) AS n FROM p JOIN lines ON line_id // 1000000 = chunk_id)
+        r AS (SELECT batch, line_id, row_number() OVER (PARTITION BY batch ORDER BY md5('11:' || batch || ':' || line_id), line_id) - 1 AS rn, count(*) OVER (PARTITION BY batch) AS n FROM p JOIN lines ON line_id // {10 * I.LINE_IDS} = chunk_id)
         SELECT batch, unnest(generate_series(rn, 127, least(n, 128))) AS place, line_id FROM r WHERE rn < 128""",
     "uniform_batches": f"""WITH {I.LINES} SELECT id // 128 AS batch, id % 128 AS place, floor({_draw(5, "id", "'0'")} / 4294967296.0 * (SELECT count(*) FROM lines))::BIGINT AS index FROM range(8192) t(id)""",
     "exact_split": f"""WITH {I.LINES} SELECT line_id, CASE WHEN row_number() OVER (ORDER BY md5('3:' || line_id), line_id) <= greatest(1, floor((SELECT count(*) FROM lines) * 0.1)) THEN 'val' ELSE 'train' END AS split FROM lines""",
     "background_fit": """WITH g AS (SELECT p_partkey AS b, p_size AS bw, p_size % 10 AS bh FROM part), r AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_quantity::INT AS w, l_linenumber::INT AS h FROM lineitem),
         s AS (SELECT w, h, (SELECT count(*) FROM g WHERE bw >= w AND bh >= h) > 0 AS found FROM (SELECT DISTINCT w, h FROM r))
         SELECT line_id, w, h, found, true AS fits, CASE WHEN NOT found THEN (SELECT b FROM g ORDER BY bw DESC, bh DESC, b DESC LIMIT 1) ELSE 0 END AS largest FROM r JOIN s USING (w, h)""",
-    "epoch_loss": """WITH m AS (SELECT l_returnflag, l_orderkey // 32 AS batch, avg(l_discount::DOUBLE) AS m FROM lineitem WHERE l_orderkey // 32 < 200 GROUP BY ALL) SELECT l_returnflag, round(avg(m), 8) AS loss, count(*) AS batches FROM m GROUP BY ALL""",
+    "epoch_loss": """WITH m AS (SELECT l_returnflag, l_orderkey // 32 AS batch, avg(l_discount::DOUBLE) AS m FROM lineitem GROUP BY ALL) SELECT l_returnflag, round(avg(m), 8) AS loss, count(*) AS batches FROM m GROUP BY ALL""",
     "best_epochs": f"""WITH {I.TRAIN_LOG}, b AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM train_log),
         f AS (SELECT run, epoch, val_loss, coalesce(val_loss < best_before, true)::INT AS is_best, best_before, (train_loss < 0.7 * val_loss)::INT AS overfit FROM b),
         s AS (SELECT *, epoch - max(CASE WHEN is_best = 1 THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS since_best FROM f) SELECT *, (since_best >= 5)::INT AS plateau FROM s""",

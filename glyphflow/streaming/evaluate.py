@@ -17,7 +17,9 @@ def evaluate_stream(
     spark: SparkSession, incoming: str, tasks: DataFrame, rows_path: str, metrics_path: str, checkpoint: str,
     on_epoch: Callable[[DataFrame], None] | None = None, once: bool = True,
 ) -> StreamingQuery:
-    """Prediction files (PREDICTIONS) are measured against the tasks and appended.
+    """Prediction files (PREDICTIONS) are measured against the tasks and stored, a folder for each batch.
+
+    A batch that runs again after a failure replaces its own folders.
 
     A prediction delivered again for the same run, epoch and task is dropped by an
     anti join with what is stored. Metrics are per micro-batch, run and epoch, with
@@ -34,10 +36,10 @@ def evaluate_stream(
             if "PATH_NOT_FOUND" not in str(error):
                 raise
         joined = fresh.join(tasks, "task_id").withColumn("pred", F.coalesce("pred", F.lit(""))).withColumn("error", F.coalesce("error", F.lit("")))
-        measured(joined).withColumn("batch", F.lit(number)).write.mode("append").parquet(rows_path)
-        stored = spark.read.parquet(rows_path).where(F.col("batch") == number)
+        measured(joined).write.mode("overwrite").parquet(f"{rows_path}/batch={number}")
+        stored = spark.read.parquet(f"{rows_path}/batch={number}")
         metrics = ocr_metrics(stored, ["run_id", "epoch"]).withColumn("batch", F.lit(number))
-        metrics.write.mode("append").parquet(metrics_path)
+        metrics.drop("batch").write.mode("overwrite").parquet(f"{metrics_path}/batch={number}")
         if on_epoch:
             on_epoch(metrics)
 

@@ -127,3 +127,22 @@ def test_narrow_edges_and_trimming(spark):
     assert [tuple(x) for x in got] == [(0, 5), (5, 10)]
     ink = array([False, True, True, False], "boolean")
     assert [tuple(x) for x in value(spark, C.trim_empty_edges(iv, ink))] == [(1, 5), (5, 9)]
+
+
+def test_edge_intervals_without_ink(spark):
+    """Ten image columns over five score columns; only the middle ones hold ink."""
+    ink = F.array(*map(F.lit, [0, 0, 0, 0, 3, 3, 2, 0, 0, 0]))
+    iv = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    got = [value(spark, C.has_ink(iv(a, b), ink, F.lit(40), F.lit(5))) for a, b in [(0, 2), (2, 4), (4, 5), (3, 3), (0, 5)]]
+    assert got == [False, True, False, False, True]
+
+
+def test_encode_text_is_encode(spark):
+    from glyphflow.functions import text as T
+
+    abc = "ab é]^-\\"
+    alphabet = F.array(*map(F.lit, abc))
+    for t in ("", "ab", "é] ^-\\", "aXbéé"):
+        known = value(spark, T.only_known(F.lit(t), abc))
+        assert known == "".join(c for c in t if c in abc)
+        assert value(spark, T.encode_text(F.lit(known), abc, 4)) == value(spark, T.encode(F.lit(known), alphabet, 4))

@@ -152,3 +152,68 @@ def test_registry_has_an_oracle_only_for_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_split_with_one_heavy_hash(spark):
+    from glyphflow.operators.dataset import exact_split
+
+    rows = spark.createDataFrame([(1,)] * 300 + [(k,) for k in range(2, 200)], "line_id long")
+    for fraction in (0.0, 0.1, 0.5, 1.0):
+        got = exact_split(rows, "line_id", fraction, 3)
+        assert got.count() == rows.count()
+        assert got.where("split = 'val'").count() == max(1, int(rows.count() * fraction))
+
+
+def test_lookup_of_uneven_chunks(spark):
+    from glyphflow.operators import dataset
+
+    sizes = {0: 1, 3: 500, 4: 2, 5000: 7, 9000: 90}
+    lines = spark.createDataFrame([(c,) for c, n in sizes.items() for _ in range(n)], "chunk_id long")
+    manifest = dataset.chunk_manifest(lines)
+    want, at = {}, 0
+    for c, n in sizes.items():
+        want |= {at + k: (c, k) for k in range(n)}
+        at += n
+    assert {r["chunk_id"]: r["end"] for r in manifest.collect()} == {0: 1, 3: 501, 4: 503, 5000: 510, 9000: 600}
+    index = spark.range(-at, at + 5).toDF("index")
+    assert {r["index"]: (r["chunk_id"], r["local"]) for r in dataset.lookup(manifest, index).collect()} == {i: want[i % at] for i in range(-at, at)}
+
+
+def test_morphology_follows_its_configuration():
+    import numpy as np
+
+    from glyphflow.operators import augment
+
+    image, rng = np.ones((9, 9)), np.random.default_rng(1)
+    image[4, 4] = 0
+    assert augment.morphology(image, rng, {"size": 1})[0] is image
+    grown, _, log = augment.morphology(image, rng, {"size": 4, "operation": "dilate"})
+    assert (grown == 0).sum() == 25 and log == {"operation": "dilate", "size": 5}
+    seen = {augment.morphology(image, rng, {"size": (2, 3)})[2]["operation"] for _ in range(40)}
+    assert seen == {"dilate", "erode"}
+
+
+def test_ransac_counts_all_points():
+    import numpy as np
+
+    from glyphflow.operators import images
+
+    x = np.arange(200.0)
+    y = 0.1 * x + 5
+    y[::3] += 9  # outliers that a sparse sample could follow
+    slope, icpt = images.ransac(x, y, 200.0, 2.0)
+    assert abs(slope - 0.1) < 0.03 and (np.abs(y - slope * x - icpt) <= 2).sum() >= 130
+    turned = images.rotate(np.zeros((10, 40), np.uint8), 30, 255)
+    assert turned.shape == (29, 40) and abs(int((turned < 128).sum()) - 400) <= 40
+
+
+def test_a_replayed_batch_is_counted_once(spark, tmp_path):
+    from glyphflow.streaming.evaluate import evaluate_stream
+
+    tasks = spark.createDataFrame([(1, "ab"), (2, "cd")], "task_id long, gt string")
+    spark.createDataFrame([("r", 0, 1, "ab", ""), ("r", 0, 2, "c", "")], "run_id string, epoch int, task_id long, pred string, error string").write.parquet(f"{tmp_path}/in")
+    paths = [f"{tmp_path}/{p}" for p in ("in", "rows", "metrics")]
+    for state in ("first", "second"):  # a fresh checkpoint runs batch 0 again over what it has stored
+        evaluate_stream(spark, paths[0], tasks, *paths[1:], f"{tmp_path}/{state}").awaitTermination()
+    assert spark.read.parquet(paths[1]).count() == 2
+    assert [(r["total"], r["exact"]) for r in spark.read.parquet(paths[2]).collect()] == [(2, 1)]
