@@ -10,7 +10,7 @@ the PES packets and collects timestamps and random-access points.
 
 Defined cases: null text is the empty text; the empty text is one unit of 576
 bytes 255. Every row of the input gives one row; equal texts give equal values;
-repeated rows repeat. Other columns of the input are ignored, whatever their
+repeated rows repeat; a null id is carried; an empty table gives an empty result. Other columns of the input are ignored, whatever their
 names. Memory is bounded by a few copies of the largest text.
 """
 
@@ -207,14 +207,12 @@ def describe(read: dict) -> str:
 MEDIA_SCHEMA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 )
-INDEX_SCHEMA = "media binary, access_points array<struct<pts: long, packet: long>>"
+INDEX_SCHEMA = "timestamps array<long>, access_points array<struct<pts: long, packet: long>>"
 
 
 def transport_streams(df: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row per input row: ``key``, the digest columns and, if kept, the stream.
-
-    With ``keep_media`` the stored bytes and the table of random-access points
-    (timestamp and packet number) are columns too; without, they stay in the task.
+    """One row per input row: ``key``, the digest columns, the timestamps of all units, the table of
+    random-access points (timestamp and packet number) and, with ``keep_media``, the stored bytes.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +228,14 @@ def transport_streams(df: DataFrame, key: str = "doc_id", text: str = "text", ke
                         "n_bytes": len(data), "payload_bytes": len(got), "payload_sha256": hashlib.sha256(got).hexdigest(), "tail_crc32": zlib.crc32(got[-32:]),
                         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": describe(read),
                     }
+                    points = zip(read["pts"][read["access"]].tolist(), read["packet"][read["access"]].tolist(), strict=True)
+                    row |= {"timestamps": read["pts"].tolist(), "access_points": [{"pts": p, "packet": q} for p, q in points]}
                     if keep_media:
-                        points = zip(read["pts"][read["access"]].tolist(), read["packet"][read["access"]].tolist(), strict=True)
-                        row |= {"media": media, "access_points": [{"pts": p, "packet": q} for p, q in points]}
+                        row["media"] = media
                     rows.append(row)
                 out = pa.Table.from_pylist(rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(out.column(c).combine_chunks() for c in out.column_names)], names=[key, *out.column_names])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, {MEDIA_SCHEMA}" + (f", {INDEX_SCHEMA}" if keep_media else "")
+    schema = f"`{key}` {kind}, {MEDIA_SCHEMA}, {INDEX_SCHEMA}" + ", media binary" * keep_media
     return df.select(key, F.col(text).cast("binary").alias("body")).mapInArrow(encode, schema)

@@ -7,12 +7,15 @@ piece holds a word mark after another character, the text is cut before each run
 of marks and the cuts are encoded one by one, short ones from a bounded store.
 
 The segmentation is the one of greatest total score (on ties the longest last
-piece); for a vocabulary whose scores are merge ranks this is not the order of
-merging. Decoding gives the text back, save that the word mark U+2581 itself
-comes back as a blank.
+piece). A vocabulary made by merging has ranks for scores, which are no
+log-probabilities and don't add up; there the score of a piece is estimated from
+its rank by the law of Zipf and Mandelbrot, -log(rank + OFFSET). Ids may differ
+from those of merging in order. Decoding gives the text back, save that the word
+mark U+2581 itself comes back as a blank; ``restored`` is false for such a text.
 
 Defined cases: null text is the empty text and has no ids; repeated rows repeat;
-other columns are ignored, whatever their names.
+a null id is carried; very long texts are read whole; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ _CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 KEEP_ENTRIES, KEEP_CHARS = 400_000, 48
 #: How much worse than the worst piece a character of byte pieces is.
 FALLBACK = 10.0
+#: What is added to a merge rank before its logarithm is taken.
+OFFSET = 100.0
 
 
 class Pieces(TwoGenerations):
@@ -49,7 +54,10 @@ class Pieces(TwoGenerations):
         self.byte_id = {b: i for i, b in self.byte_value.items()}
         self.unknown = model.unk_id()
         usual = [i for i in range(len(self.text)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.score = {self.text[i]: (i, model.get_score(i)) for i in usual}
+        scores = np.array([model.get_score(i) for i in usual])
+        if len(scores) and (scores == np.round(scores)).all():  # merge ranks
+            scores = -np.log(np.maximum(-scores, 0) + OFFSET)
+        self.score = {self.text[i]: (i, s) for i, s in zip(usual, scores.tolist(), strict=True)}
         self.worst = min((s for _, s in self.score.values() if s > -1e6), default=0.0) - FALLBACK
         self.automaton = ahocorasick.Automaton()
         for piece, (i, s) in self.score.items():
@@ -123,7 +131,7 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), ids)
                 out = {"k": part.column(0), "n_ids": pa.array(sizes, pa.int64()), "ids": lists}
                 if check:
-                    out["restored"] = pa.array([model.decode(np.frombuffer(r, "<i4").tolist()) == t.replace(MARK, " ") for r, t in zip(rows, texts, strict=True)])
+                    out["restored"] = pa.array([model.decode(np.frombuffer(r, "<i4").tolist()) == t for r, t in zip(rows, texts, strict=True)])
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = df.select(key).schema[0].dataType.simpleString()

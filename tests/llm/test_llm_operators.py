@@ -96,7 +96,9 @@ def test_components_of_chains_and_stars(spark, monkeypatch, finish):
 def test_sentencepiece_best_score_and_round_trip(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sp.Pieces(path)
-    for cut in ("▁Hello", "▁▁▁x", "▁ê", "abcabcthe", "▁日本x"):
+    rnd = random.Random(9)
+    cuts = ["".join(rnd.choice("▁aeinrsthou日éẍ.,1") for _ in range(rnd.randint(1, 14))) for _ in range(400)]
+    for cut in ("▁Hello", "▁▁▁x", "▁ê", "abcabcthe", "▁日本x", *cuts):
         best = [0.0] + [-math.inf] * len(cut)
         for e in range(1, len(cut) + 1):
             for a in range(e):
@@ -116,6 +118,9 @@ def test_sentencepiece_best_score_and_round_trip(spark, docs):
         assert score == pytest.approx(best[-1])
     coded = sp.encode(docs, path, check=True)
     assert coded.where(~F.col("restored")).count() == 0
+    marked = spark.createDataFrame([(1, "a▁b"), (None, "a b"), (2, "x" * 200_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["restored"] for r in sp.encode(marked, path, check=True).collect()} == {1: False, None: True, 2: True}
+    assert sp.encode(empty(spark), path, check=True).count() == 0
     back = {r["doc_id"]: r["text"] for r in sp.decode(coded, path).collect()}
     assert back == {k: t or "" for k, t in enumerate(ODD)}
 
@@ -272,7 +277,11 @@ def test_media_round_trip(spark, docs):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(data), len(payload), len(r["media"]))
         read = media_ts.demux(bytes(r["media"]))
-        assert read["payload"] == payload and read["jumps"] == 0 and len(r["access_points"]) == -(-len(payload) // 576 // 12) or len(r["access_points"]) > 0
+        assert read["payload"] == payload and read["jumps"] == 0
+        assert r["timestamps"] == [3600 * k for k in range(len(payload) // 576)]
+        assert [p["pts"] for p in r["access_points"]] == r["timestamps"][::12]
+        assert all(r["media"][188 * p["packet"]] == 0x47 and r["media"][188 * p["packet"] + 5] & 0x40 for p in r["access_points"])
+    assert media_ts.transport_streams(empty(spark)).count() == 0
     stream = bytearray(media_ts.mux(media_ts.padded(b"x" * 3000)))
     stream[188 * 4 + 3] ^= 1  # a wrong continuity counter
     assert media_ts.demux(bytes(stream))["jumps"] > 0
