@@ -215,6 +215,13 @@ def transport_streams(df: DataFrame, key: str = "doc_id", text: str = "text", ke
     random-access points (timestamp and packet number) and, with ``keep_media``, the stored bytes.
     """
 
+    number, text_ = pa.int64(), pa.string()
+    # Stated, not inferred: inferred structs have their fields in alphabetical order.
+    shape = pa.schema({
+        "n_bytes": number, "payload_bytes": number, "payload_sha256": text_, "tail_crc32": number, "media_bytes": number, "media_sha256": text_, "feature": text_,
+        "timestamps": pa.list_(number), "access_points": pa.list_(pa.struct([("pts", number), ("packet", number)])), **({"media": pa.binary()} if keep_media else {}),
+    })
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -233,7 +240,7 @@ def transport_streams(df: DataFrame, key: str = "doc_id", text: str = "text", ke
                     if keep_media:
                         row["media"] = media
                     rows.append(row)
-                out = pa.Table.from_pylist(rows)
+                out = pa.Table.from_pylist(rows, schema=shape)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(out.column(c).combine_chunks() for c in out.column_names)], names=[key, *out.column_names])
 
     kind = df.select(key).schema[0].dataType.simpleString()
