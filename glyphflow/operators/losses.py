@@ -48,3 +48,26 @@ def epoch_loss(batches: DataFrame, batch: str, loss: str, by: list[str], max_bat
     own = batches.where(F.col(batch) < max_batches) if max_batches is not None else batches
     means = own.groupBy(*by, batch).agg(F.avg(loss).alias("_m"))
     return means.groupBy(*by).agg(F.avg("_m").alias("loss"), F.count("*").alias("batches"))
+
+
+def max_pooled(cells: DataFrame, height: int, by: list[str] | None = None) -> DataFrame:
+    """Label maps (line_id, x, y, c) to one label per column: windows of four rows, one row padded, then their greatest; rows past the last window are not read."""
+    last = 4 * ((height - 2) // 4) + 2
+    return cells.where(F.col("y") <= last).groupBy(*(by or ["line_id"]), "x").agg(F.max("c").alias("label"))
+
+
+def resized_maps(values: Column, old: tuple[int, int, int], size: tuple[int, int]) -> Column:
+    """Target maps of (channels, height, width), row by row, at another height and width: bilinear, half-pixel centres, kept within 0..1."""
+    channels, h, w = old
+    th, tw = size
+
+    def at(k: Column) -> Column:
+        channel, y, x = F.floor(k / (th * tw)), F.floor(k / tw) % th, k % tw
+        sy = F.greatest(F.lit(0.0), F.least(F.lit(h - 1.0), (y + 0.5) * h / th - 0.5))
+        sx = F.greatest(F.lit(0.0), F.least(F.lit(w - 1.0), (x + 0.5) * w / tw - 0.5))
+        fy, fx = sy - F.floor(sy), sx - F.floor(sx)
+        cell = lambda dy, dx: F.get(values, ((channel * h + F.least(F.floor(sy) + dy, F.lit(h - 1))) * w + F.least(F.floor(sx) + dx, F.lit(w - 1))).cast("int"))
+        mixed = cell(0, 0) * (1 - fy) * (1 - fx) + cell(0, 1) * (1 - fy) * fx + cell(1, 0) * fy * (1 - fx) + cell(1, 1) * fy * fx
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(channels * th * tw - 1)), at)

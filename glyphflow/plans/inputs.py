@@ -5,6 +5,9 @@ Every input has its DuckDB form beside it, for the oracles.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share; without one in spark.checkpoint.dir only local mode goes on."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder or tempfile.gettempdir()}/glyphflow-{name}-{uuid.uuid4().hex}"
+
+
 def pieces(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """(line_id, doc_id, lang, source, text): every document cut into pieces of up to ``size`` characters of a line."""
     cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphflow.functions import cuts as C
 from glyphflow.functions import labels as LB
 from glyphflow.functions import scores as S
 from glyphflow.operators import augment as A
-from glyphflow.operators import decode, evaluate, generate, images, losses, sweep
+from glyphflow.operators import decode, evaluate, generate, images, losses, profiles, sweep
 from glyphflow.streaming.evaluate import evaluate_stream
 
 from . import inputs as I
@@ -173,13 +170,9 @@ def label_crop_resize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def maxpool_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Label maps of 48 rows and 16 columns made of part sizes; rows from the last pooling window on are not read."""
+    """Label maps of 48 rows and 16 columns made of part sizes."""
     parts = I.table(spark, sf, "part").select((F.col("p_partkey") % 16).alias("x"), (F.col("p_partkey") % 48).alias("y"), F.floor(F.col("p_partkey") / 768).alias("line_id"), F.col("p_size").alias("c"))
-    return losses_maxpool(parts, 48)
-
-
-def losses_maxpool(cells: DataFrame, height: int) -> DataFrame:
-    return cells.where(F.col("y") <= 4 * ((height - 2) // 4) + 2).groupBy("line_id", "x").agg(F.max("c").alias("label"))
+    return losses.max_pooled(parts, 48)
 
 
 def weighted_ce(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,54 +200,40 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    out = _points(spark, sf).groupBy("img", "x").agg(F.percentile("y", F.lit(0.88)).alias("y"), F.sqrt(F.count("*")).alias("w"))
+    out = profiles.column_profile(_points(spark, sf), 0.88)
     return out.select("img", "x", F.round("y", 6).alias("y"), F.round("w", 6).alias("w"))
 
 
 def line_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """A line through the column profile; residual weights count squared."""
-    p = _points(spark, sf).groupBy("img", "x").agg(F.percentile("y", F.lit(0.88)).alias("y"), F.count("*").alias("w2"))
-    s = p.groupBy("img").agg(*(F.sum(e).alias(n) for n, e in (("s", F.col("w2")), ("sx", F.col("w2") * F.col("x")), ("sy", F.col("w2") * F.col("y")), ("sxy", F.col("w2") * F.col("x") * F.col("y")), ("sxx", F.col("w2") * F.col("x") * F.col("x")))))
-    slope = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.select("img", F.round(slope, 6).alias("slope"), F.round((F.col("sy") - slope * F.col("sx")) / F.col("s"), 5).alias("intercept"))
+    out = profiles.weighted_lines(profiles.column_profile(_points(spark, sf), 0.88))
+    return out.select("img", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 def ransac_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """J11 in long form, over the profile points (at most 40 of an image)."""
+    """J11 over the profile points: of each image (40 columns) at most 30 are paired, all are counted."""
     p = _points(spark, sf).groupBy("img", "x").agg(F.max("y").alias("y"))
-    a, b = p.toDF("img", "xa", "ya"), p.toDF("img", "xb", "yb")
-    lines = a.join(b, (a["img"] == b["img"]) & (b["xb"] - a["xa"] >= 5)).select(a["img"], "xa", "ya", "xb", F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")).alias("slope"))
-    lines = lines.where(F.abs(F.degrees(F.atan("slope"))) <= 25)
-    near = lines.join(p, "img").withColumn("r", F.abs(F.col("y") - F.col("ya") - F.col("slope") * (F.col("x") - F.col("xa"))))
-    scored = near.groupBy("img", "xa", "xb", "slope").agg(F.sum((F.col("r") <= 2).cast("int")).alias("inliers"))
+    scored = profiles.candidate_lines(profiles.spread_points(p, 30), p, 5, 2.0)
     return scored.groupBy("img").agg(F.max("inliers").alias("inliers"), F.count("*").alias("pairs"))
 
 
 def text_x_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns with enough ink, holes of one closed, first and last column of runs of at least two."""
-    p = _points(spark, sf).groupBy("img", "x").agg(F.count("*").alias("n")).groupBy("img").agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("m"), (F.sum("n") / 40).alias("mean"))
-    flags = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)) >= F.col("mean"))
-    runs = F.filter(S.boolean_runs(S.close_holes(flags, 1)), lambda r: r["end"] - r["start"] >= 2)
-    return p.select("img", F.array_min(F.transform(runs, lambda r: r["start"])).alias("left"), F.array_max(F.transform(runs, lambda r: r["end"])).alias("right"))
+    """A thousand images of 200 columns and 50 rows made of line items; -1 without a run."""
+    points = I.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 1000).alias("img"), (F.col("l_partkey") % 200).alias("x"))
+    out = profiles.text_bounds(points, 200, 50)
+    return out.select("img", F.coalesce("left", F.lit(-1)).alias("left"), F.coalesce("right", F.lit(-1)).alias("right"))
 
 
 def running_median(spark: SparkSession, sf: str) -> DataFrame:
     """W5 on events: the median of the values around each event of a user."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
-    return I.table(spark, sf, "events").select("event_id", F.round(C.median(F.collect_list("value").over(w)), 6).alias("smooth"))
+    out = profiles.running_median(I.table(spark, sf, "events"), "value", ["user_id"], ["ts", "event_id"], 2)
+    return out.select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 def filled_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Values of clicks only, all other events of the user interpolated by event number, clamped at the ends."""
-    ev = I.table(spark, sf, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "click", F.col("value")).alias("v"))
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    ev = ev.withColumn("n", F.row_number().over(order))
-    known = F.when(F.col("v").isNotNull(), F.struct("n", "v"))
-    before, after = F.last(known, True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.first(known, True).over(order.rowsBetween(0, W.unboundedFollowing))
-    ev = ev.withColumn("a", before).withColumn("b", after)
-    share = (F.col("n") - F.col("a.n")) / F.nullif(F.col("b.n") - F.col("a.n"), F.lit(0))
-    value = F.coalesce(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share, F.col("a.v"), F.col("b.v"))
-    return ev.select("event_id", F.round(value, 6).alias("filled"))
+    ev = I.table(spark, sf, "events")
+    out = profiles.filled_gaps(ev, F.when(F.col("event_type") == "click", F.col("value")), ["user_id"], ["ts", "event_id"])
+    return out.select("event_id", F.round("filled", 6).alias("filled"))
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,10 +313,7 @@ def column_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_eval(spark: SparkSession, sf: str) -> DataFrame:
     """The predictions of every language as an epoch, streamed from files and measured as they arrive."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = f"{folder}/glyphflow-stream-{uuid.uuid4().hex}"
+    base = I.scratch(spark, "stream")
     rows = I.pairs(spark, sf)
     epoch = F.expr("CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END")
     rows.select(F.lit("run").alias("run_id"), epoch.alias("epoch"), "task_id", "pred", "error").write.parquet(f"{base}/in")
@@ -397,6 +373,15 @@ ORACLES = {
     "softmax_scores": f"WITH {I.LOGITS}, e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY line_id, t)) AS e FROM lg) SELECT line_id, t::INT AS t, c::INT AS c, round(e / sum(e) OVER (PARTITION BY line_id, t), 6) AS p FROM e",
     "smooth_scores": f"""WITH {_PEAKS} SELECT line_id, i::INT AS i, round((coalesce(l, 0) + 2 * s + coalesce(r, 0)) / (2 + (l IS NOT NULL)::INT + (r IS NOT NULL)::INT), 6) AS s FROM nb""",
     "cut_peaks": f"WITH {_PEAKS} SELECT line_id, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i), '') AS peaks FROM ids LEFT JOIN pk USING (line_id) GROUP BY line_id",
+    "cut_nms": f"""WITH RECURSIVE {_PEAKS}, rk AS (SELECT line_id, i, row_number() OVER (PARTITION BY line_id ORDER BY s DESC, i DESC) AS k FROM pk),
+        f AS (SELECT line_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ids
+            UNION ALL SELECT f.line_id, rk.k, CASE WHEN len(list_filter(kept, lambda a: abs(a - i) < 4)) = 0 THEN list_append(kept, i::BIGINT) ELSE kept END FROM f JOIN rk ON rk.line_id = f.line_id AND rk.k = f.k + 1)
+        SELECT line_id, array_to_string(list_sort(arg_max(kept, k)), ' ') AS cuts FROM f GROUP BY line_id""",
+    "cut_min_gap": f"""WITH RECURSIVE {_PEAKS}, rk AS (SELECT line_id, i, s, row_number() OVER (PARTITION BY line_id ORDER BY i) AS k FROM pk),
+        f AS (SELECT line_id, 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::DOUBLE AS ls FROM ids
+            UNION ALL SELECT f.line_id, rk.k, CASE WHEN ls IS NULL OR i - kept[-1] >= 4 THEN list_append(kept, i::BIGINT) WHEN ls <= s THEN list_append(kept[1:len(kept) - 1], i::BIGINT) ELSE kept END,
+                CASE WHEN ls IS NULL OR i - kept[-1] >= 4 OR ls <= s THEN s ELSE ls END FROM f JOIN rk ON rk.line_id = f.line_id AND rk.k = f.k + 1)
+        SELECT line_id, array_to_string(arg_max(kept, k), ' ') AS cuts FROM f GROUP BY line_id""",
     "cuts_report": f"""WITH {_PEAKS} SELECT line_id, coalesce(string_agg(i || ':' || round(s::DECIMAL(10, 4), 3)::DECIMAL(6, 3)::VARCHAR, ' ' ORDER BY i), '') AS cuts, count(i)::INT AS cut_count, (count(i) + 1)::INT AS pred_len FROM ids LEFT JOIN pk USING (line_id) GROUP BY line_id""",
     "cut_runs": f"""WITH {I.CUT_SCORES}, f AS (SELECT line_id, i FROM sc WHERE s >= 0.5), g AS (SELECT *, sum((p IS NULL OR i - p > 3)::INT) OVER (PARTITION BY line_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY line_id ORDER BY i) AS p FROM f))
         SELECT line_id, min(i)::INT AS start, (max(i) + 1)::INT AS "end" FROM g GROUP BY line_id, k""",
@@ -444,11 +429,13 @@ ORACLES = {
     "line_fit": f"""WITH {_PTS}, p AS (SELECT img, x::DOUBLE AS x, quantile_cont(y, 0.88) AS y, count(*)::DOUBLE AS w FROM pts GROUP BY ALL),
         s AS (SELECT img, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx FROM p GROUP BY img),
         f AS (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS slope FROM s) SELECT img, round(slope, 6) AS slope, round((sy - slope * sx) / s, 5) AS intercept FROM f""",
-    "ransac_pairs": f"""WITH {_PTS}, p AS (SELECT img, x, max(y) AS y FROM pts GROUP BY ALL), l AS (SELECT a.img, a.x AS xa, a.y AS ya, b.x AS xb, (b.y - a.y) / (b.x - a.x) AS slope FROM p a JOIN p b ON a.img = b.img AND b.x - a.x >= 5),
+    "ransac_pairs": f"""WITH {_PTS}, p AS (SELECT img, x, max(y) AS y FROM pts GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY img) AS n FROM p),
+        sp AS (SELECT img, x, y FROM o WHERE k = 0 OR floor(k * least(n, 30) / n) > floor((k - 1) * least(n, 30) / n)),
+        l AS (SELECT a.img, a.x AS xa, a.y AS ya, b.x AS xb, (b.y - a.y) / (b.x - a.x) AS slope FROM sp a JOIN sp b ON a.img = b.img AND b.x - a.x >= 5),
         n AS (SELECT l.img, xa, xb, sum((abs(y - ya - slope * (x - xa)) <= 2)::INT)::BIGINT AS inliers FROM l JOIN p ON l.img = p.img WHERE abs(degrees(atan(slope))) <= 25 GROUP BY ALL) SELECT img, max(inliers) AS inliers, count(*) AS pairs FROM n GROUP BY img""",
-    "text_x_bounds": f"""WITH {_PTS}, n AS (SELECT img, x, count(*) AS n FROM pts GROUP BY ALL), m AS (SELECT img, sum(n) / 40 AS mean FROM n GROUP BY img),
-        f AS (SELECT img, x, lag(x) OVER (PARTITION BY img ORDER BY x) AS p FROM n JOIN m USING (img) WHERE n >= mean), g AS (SELECT *, sum((p IS NULL OR x - p > 2)::INT) OVER (PARTITION BY img ORDER BY x) AS k FROM f),
-        r AS (SELECT img, min(x) AS a, max(x) + 1 AS b FROM g GROUP BY img, k) SELECT m.img, min(a)::INT AS "left", max(b)::INT AS "right" FROM m LEFT JOIN r ON m.img = r.img AND b - a >= 2 GROUP BY m.img""",
+    "text_x_bounds": """WITH n AS (SELECT DISTINCT l_orderkey % 1000 AS img, l_partkey % 200 AS x FROM lineitem), f AS (SELECT img, x, lag(x) OVER (PARTITION BY img ORDER BY x) AS p FROM n),
+        g AS (SELECT *, sum((p IS NULL OR x - p > 3)::INT) OVER (PARTITION BY img ORDER BY x) AS k FROM f), r AS (SELECT img, min(x) AS a, max(x) + 1 AS b FROM g GROUP BY img, k)
+        SELECT m.img, coalesce(min(a), -1)::INT AS "left", coalesce(max(b), -1)::INT AS "right" FROM (SELECT DISTINCT img FROM n) m LEFT JOIN r ON m.img = r.img AND b - a >= 3 GROUP BY m.img""",
     "running_median": "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events",
     "filled_gaps": """WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_type = 'click' THEN value END AS v FROM events),
         k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS an, min(CASE WHEN v IS NOT NULL THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bn FROM e)
