@@ -10,7 +10,7 @@ from glyphflow.functions import cuts as C
 from glyphflow.functions import labels as LB
 from glyphflow.functions import scores as S
 from glyphflow.operators import augment as A
-from glyphflow.operators import decode, evaluate, generate, images, losses, profiles, sweep
+from glyphflow.operators import decode, evaluate, generate, heatmaps, images, losses, profiles, sweep
 from glyphflow.streaming.evaluate import evaluate_stream
 
 from . import inputs as I
@@ -274,6 +274,26 @@ def text_line_detection(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("line_id", "w", "status")
 
 
+def ink_edges(image: np.ndarray) -> np.ndarray:
+    """Heatmaps without a network: full heat at the first and at the last ink of each column."""
+    ink = image < 128
+    heat, x = np.zeros((2, *image.shape), np.float32), np.flatnonzero(ink.any(axis=0))
+    heat[0, ink.argmax(axis=0)[x], x] = heat[1, len(ink) - 1 - ink[::-1].argmax(axis=0)[x], x] = 1
+    return heat
+
+
+def straightened_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every drawn line straightened along the edges of its ink."""
+    out = heatmaps.straightened(_rendered(spark, sf), ink_edges)
+    return out.select("line_id", "status", "w", "h", F.round("body", 4).alias("body"), F.md5("pixels").alias("digest"))
+
+
+def straight_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The lower edge of every drawn line as a straight line."""
+    out = heatmaps.straightened(_rendered(spark, sf), ink_edges, heatmaps.HeatParams(curved=False))
+    return out.select("line_id", "status", F.round("slope", 4).alias("slope"), F.round("confidence", 4).alias("confidence"))
+
+
 def template_scores(stack: np.ndarray) -> list[np.ndarray]:
     """a scoring function without a network: drawn glyphs are looked up in the atlas, one step per glyph."""
     text = list(map(chr, range(33, 127)))
@@ -344,7 +364,7 @@ QUERIES = (
     cut_intervals, typical_width, boundary_map, boundary_promotion, interval_class_mean, decode_with_cuts, glyph_layout, line_crops, dense_labels,
     cut_projection, baseline_rows, majority_bins, label_resample, label_crop_resize, maxpool_labels, weighted_ce, _cut_loss("mse"), _cut_loss("bce"),
     _cut_loss("smooth_l1"), column_profile, line_fit, ransac_pairs, text_x_bounds, running_median, filled_gaps, threshold_sweep, preprocess_sizes,
-    augment_log, text_line_detection, render_roundtrip, column_classifier, stream_eval, flagship,
+    augment_log, text_line_detection, straightened_lines, straight_edges, render_roundtrip, column_classifier, stream_eval, flagship,
 )
 
 _PEAKS = f"""{I.CUT_SCORES}, nb AS (SELECT *, lag(s) OVER w AS l, lead(s) OVER w AS r FROM sc WINDOW w AS (PARTITION BY line_id ORDER BY i)),

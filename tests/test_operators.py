@@ -61,13 +61,9 @@ def test_column_quantiles():
     assert images.profile_points(mask, 0.88)[1][0] == pytest.approx(8.08)
 
 
-def test_components_and_curves():
+def test_components():
     mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1]], bool)
     assert images.components(mask)[1] == 3
-    heat = np.zeros((16, 100))
-    heat[5, ::2] = 1
-    assert images.heat_curve(heat, 0.5, 100, 16) == pytest.approx(np.full(100, 5.0))
-    assert images.heat_curve(np.zeros((16, 100)), 0.5, 100, 16) is None
 
 
 def test_every_augmentation(drawn):
