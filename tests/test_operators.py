@@ -213,3 +213,25 @@ def test_a_replayed_batch_is_counted_once(spark, tmp_path):
         evaluate_stream(spark, paths[0], tasks, *paths[1:], f"{tmp_path}/{state}").awaitTermination()
     assert spark.read.parquet(paths[1]).count() == 2
     assert [(r["total"], r["exact"]) for r in spark.read.parquet(paths[2]).collect()] == [(2, 1)]
+
+
+def test_baseline_maps_move_with_the_image(spark):
+    image = np.zeros((24, 40), np.uint8)
+    image[10:13, 5:30] = 255
+    maps = np.stack([image / 255.0, np.roll(image, 6, 0) / 255.0])
+    df = spark.createDataFrame([(k, 24, 40, image.tobytes(), maps.reshape(-1).tolist()) for k in range(6)] + [(9, 24, 40, image.tobytes(), None)], "line_id long, h int, w int, pixels binary, baseline array<double>")
+    moved = augment.augment(df, dict.fromkeys(augment.GEOMETRIC, 1.0), target="baseline").collect()
+    for r in moved:
+        if r["line_id"] == 9:
+            assert r["baseline"] is None
+            continue
+        out = np.array(r["baseline"]).reshape(2, 24, 40)
+        assert out[0] == pytest.approx(np.frombuffer(r["pixels"], np.uint8).reshape(24, 40) / 255.0, abs=0.003)
+    grey = augment.augment(df, {"noise": 1.0, "invert": 1.0}, target="baseline").where("line_id < 9").collect()
+    assert all(r["baseline"] == maps.reshape(-1).tolist() for r in grey)
+
+
+def test_running_median_by_windows():
+    y = np.random.default_rng(5).random(31)
+    for radius in (0, 1, 4, 15, 40):
+        assert images.median_smooth(y, radius) == pytest.approx([np.median(y[max(0, i - radius) : i + radius + 1]) for i in range(31)])
