@@ -268,6 +268,24 @@ def augment_log(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("line_id", "log", F.md5("pixels").alias("digest"))
 
 
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as grey images of 8 x 8."""
+    grey = F.transform("cut_scores", lambda v: F.lpad(F.hex(F.round(v * 255).cast("int")), 2, "0"))
+    return I.cut_scores(spark, sf).select("line_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(grey, "")).alias("pixels"), F.concat("cut_scores", F.reverse("cut_scores")).alias("baseline"))
+
+
+def augment_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Grey values at two fifths of their brightness, inverted."""
+    out = A.augment(_patches(spark, sf), {"brightness": 1.0, "invert": 1.0}, {"brightness": {"factor": 0.4}})
+    return out.select("line_id", F.hex("pixels").alias("pixels"))
+
+
+def augment_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every operation that moves an image moves its two maps."""
+    out = A.augment(_patches(spark, sf), dict.fromkeys(A.GEOMETRIC, 0.5), target="baseline")
+    return out.select("line_id", "log", F.md5("pixels").alias("digest"), F.round(F.aggregate("baseline", F.lit(0.0), lambda a, x: a + x), 3).alias("heat"))
+
+
 def text_line_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Every drawn line detected and cropped to its text."""
     out = images.preprocess_lines(_rendered(spark, sf), images.Params(height=24, baseline_crop=True))
@@ -364,7 +382,7 @@ QUERIES = (
     cut_intervals, typical_width, boundary_map, boundary_promotion, interval_class_mean, decode_with_cuts, glyph_layout, line_crops, dense_labels,
     cut_projection, baseline_rows, majority_bins, label_resample, label_crop_resize, maxpool_labels, weighted_ce, _cut_loss("mse"), _cut_loss("bce"),
     _cut_loss("smooth_l1"), column_profile, line_fit, ransac_pairs, text_x_bounds, running_median, filled_gaps, threshold_sweep, preprocess_sizes,
-    augment_log, text_line_detection, straightened_lines, straight_edges, render_roundtrip, column_classifier, stream_eval, flagship,
+    augment_log, augment_values, augment_maps, text_line_detection, straightened_lines, straight_edges, render_roundtrip, column_classifier, stream_eval, flagship,
 )
 
 _PEAKS = f"""{I.CUT_SCORES}, nb AS (SELECT *, lag(s) OVER w AS l, lead(s) OVER w AS r FROM sc WINDOW w AS (PARTITION BY line_id ORDER BY i)),
@@ -465,6 +483,7 @@ ORACLES = {
         c AS (SELECT trial, line_id, count(*) FILTER (s >= th AND s >= coalesce(l, '-inf'::DOUBLE) AND s >= coalesce(r, '-inf'::DOUBLE)) + 1 - 8 AS d FROM nb, t GROUP BY ALL),
         m AS (SELECT trial::BIGINT AS trial, sum(abs(d))::BIGINT AS total_abs_length_error, avg(abs(d)) AS a FROM c GROUP BY ALL)
         SELECT trial, total_abs_length_error, round(a, 6) AS average_abs_length_error, row_number() OVER (ORDER BY a, trial) AS place FROM m""",
+    "augment_values": f"""WITH {I.CUT_SCORES} SELECT line_id, string_agg(printf('%02X', round(255 - 0.4::DOUBLE * round(s * 255))::INT), '' ORDER BY i) AS pixels FROM sc GROUP BY line_id""",
     "stream_eval": f"""WITH {I.PAIRS} SELECT 'run' AS run_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS epoch, count(*) AS total, sum((error = '')::INT)::BIGINT AS recognized,
         sum(exact_match)::BIGINT AS exact, sum(levenshtein)::BIGINT AS total_levenshtein FROM measured GROUP BY ALL""",
 }
