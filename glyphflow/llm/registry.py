@@ -10,6 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .cross_alignment import cross_alignment
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
@@ -71,8 +72,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_streams(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level = tuple(map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")))
+    return cross_alignment(table(spark, sf_dir, "documents"), byte_level, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns, op11_cross_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
