@@ -22,6 +22,7 @@ from .pii import pii_report
 from .sentencepiece_viterbi import encode
 from .shared import doc_bucket, table
 from .token_counts import token_counts
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,8 +78,12 @@ def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_alignment(table(spark, sf_dir, "documents"), byte_level, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns, op11_cross_alignment)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns, op11_cross_alignment, op12_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
