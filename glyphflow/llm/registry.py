@@ -21,6 +21,7 @@ from .packing import best_fit_pack, tokenised_pieces
 from .pii import pii_report
 from .sentencepiece_viterbi import encode
 from .shared import doc_bucket, table
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .whitening import whiten
 
@@ -82,8 +83,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns, op11_cross_alignment, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_sentencepiece, op4_license_scans, op5_pii, op6_language_id, op7_token_counts, op8_ngram_jaccard_join, op9_lm_scoring, op10_media_columns, op11_cross_alignment, op12_embedding_whitening, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

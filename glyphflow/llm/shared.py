@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,6 +41,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave and that no later job reads.
+
+    What its job shuffled goes as well once no DataFrame can ask for it, which a collection of garbage finds out.
+    """
+    context = df.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A name with which no column of ``df`` begins."""
     while any(c.lower().startswith(stem) for c in df.columns):

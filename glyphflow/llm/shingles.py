@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
@@ -37,12 +37,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
-def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of these bytes begin, and their hashes."""
+def word_hashes(data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of these bytes begin, and their hashes; ``fold``: of A-Z in lower case."""
     size = 1 << max(BLOCK_BYTES.bit_length() + 1, (len(data) + 1).bit_length())
-    up, down = _powers(size)
-    capital = (data >= 65) & (data <= 90)
-    data = data | (capital.view(np.uint8) << 5)
+    up, down = powers(size)
+    if fold:
+        data = data | (((data >= 65) & (data <= 90)).view(np.uint8) << 5)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -61,7 +61,7 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
             at += 1
         data = np.frombuffer(b"\n".join(block), np.uint8)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in block])])
-        first, words = _block_words(data)
+        first, words = word_hashes(data)
         bounds = np.searchsorted(first, begins)
         rolled = np.zeros(max(len(words) - k + 1, 0), np.uint64)
         for j in range(k):
