@@ -41,15 +41,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` gave and that no later job reads.
+def removed(*tables: DataFrame | SparkSession) -> None:
+    """Delete the files of tables that ``written`` gave and that no later job reads; of a session, nothing.
 
-    What its job shuffled goes as well once no DataFrame can ask for it, which a collection of garbage finds out.
+    What finished jobs shuffled goes as well once no DataFrame can ask for it, which a collection of garbage finds out.
     """
-    context = df.sparkSession.sparkContext
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        if isinstance(df, DataFrame):
+            context = df.sparkSession.sparkContext
+            for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            context = df.sparkContext
     gc.collect()
     context._jvm.System.gc()
 

@@ -14,13 +14,13 @@ and position) where it occurs first, by document id.
   at again.
 * Edges that are left meet by their nodes; those of one document go, the others
   get their source.
-* Compaction: a node with one edge in and one out is passed through. Joins with
-  the other nodes tell where paths begin; within a source document, edges at
-  consecutive positions with no branching node between them are one path.
-* Each document's windows on one path, at one distance from their source, are a
-  span: (document, start, windows, source document, source start). Spans go back
-  to the blocks, where the windows at these coordinates are made from the words
-  again, and with both nodes (128 bits) looked up in all documents of the block.
+* Compaction: a document's neighbouring windows whose sources are neighbours are
+  one run. A node with one edge in and one out is passed through; runs are joined
+  with the other nodes of their source and cut there, so that each is part of one
+  nonbranching path: (document, start, windows, source document, source start).
+* These spans go back to the blocks, where the windows at their coordinates are
+  made from the words again, and with both nodes (128 bits) looked up in all
+  documents of the block.
 
 Defined cases: null and empty texts, and texts of fewer than k words, lose
 nothing; a null id counts as larger than every id, and rows that share an id, or
@@ -38,7 +38,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import removed, shared_dir, written
@@ -128,10 +128,11 @@ def _sieve(k: int, size: int):
             m, ids = block.least(size), block.ids[block.doc]
             # A shingle is told once for each stretch of windows that has it.
             turn = np.flatnonzero(np.concatenate([np.ones(min(1, len(m)), bool), (m[1:] != m[:-1]) | (ids[1:] != ids[:-1])]))
-            order = turn[np.argsort(m[turn])]
-            m, ids = m[order], ids[order]
-            if len(first := _firsts(m)):
-                columns = [_signed(m[first]), *(pa.array(f.reduceat(ids, first)) for f in (np.minimum, np.maximum)), pa.array(np.full(len(first), number, np.int32))]
+            order = turn[np.argsort(m[turn], kind="stable")]
+            if len(first := _firsts(m[order])):
+                # Rows go out as the texts come: neighbours are alike, and shuffle in few bytes.
+                out = np.argsort(order[first])
+                columns = [_signed(m[order][first][out]), *(pa.array(f.reduceat(ids[order], first)[out]) for f in (np.minimum, np.maximum)), pa.array(np.full(len(first), number, np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["m", "lo", "hi", "block"])
 
     return scan
@@ -151,6 +152,8 @@ def _edges(k: int, size: int):
         first = _firsts(keys[order])
         last = np.append(first[1:], len(order))[: len(first)] - 1
         low, high = order[first], order[last]
+        out = np.argsort(low)
+        low, high = low[out], high[out]
         columns = [_signed(left[low]), _signed(right[low]), pa.array(block.ids[doc[low]]), pa.array(block.ids[doc[high]]), *(pa.array(x[low].astype(np.int32)) for x in (doc, pos))]
         number = texts["block"][0].as_py() if len(texts) else 0
         return pa.table([*columns, pa.array(np.full(len(first), number, np.int32))], ["left", "right", "o", "hi", "doc", "pos", "block"])
@@ -199,6 +202,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     name = f"substring_blocks_{uuid.uuid4().hex}"
     dealt.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(blocks, "block").saveAsTable(name)
+    removed(spark)
     return spark.table(name)
 
 
@@ -206,48 +210,70 @@ def _joined(left: DataFrame, right: DataFrame, cogrouped, schema: str) -> DataFr
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cogrouped, schema)
 
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """The paths of a graph of sourced edges: (sb, sd, sp, path) for each different edge, ``path`` being the position where its path begins.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring windows whose sources are neighbours too, as one row with their number n; rows come by block, document and position."""
+    for batch in batches:
+        if batch.num_rows:
+            block, doc, pos, sb, sd, sp = (batch.column(c).to_numpy().astype(np.int64) for c in ("block", "doc", "pos", "sb", "sd", "sp"))
+            step = lambda x, by: x[1:] == x[:-1] + by
+            on = step(block, 0) & step(doc, 0) & step(pos, 1) & step(sb, 0) & step(sd, 0) & step(sp, 1)
+            first = np.flatnonzero(np.concatenate([[True], ~on]))
+            n = pa.array(np.diff(np.append(first, len(pos))))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns, n], [*batch.schema.names, "n"])
+
+
+def path_ends(own: DataFrame) -> DataFrame:
+    """(sb, sd, at): positions of source documents at which a path ends because the node there branches.
 
-    ``edges``: left, right, block, doc, pos and the source's block, document and position (sb, sd, sp).
+    ``own``: the different edges (left, right) with their source (sb, sd, sp). The left node of an edge
+    is at its position, its right node at the next.
     """
-    own = edges.where("block = sb and doc = sd and pos = sp").select("left", "right", "sb", "sd", "sp")
-    sides = own.select(F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("right").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("x")).select("x.*")
-    branching = sides.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or into > 1").select(F.col("node").alias("left"), F.lit(True).alias("branches"))
-    along = Window.partitionBy("sb", "sd").orderBy("sp")
-    begins = F.coalesce("branches", F.lit(False)) | (F.coalesce(F.lag("sp").over(along), F.lit(-2)) != F.col("sp") - 1)
-    marked = own.join(branching, "left", "left").withColumn("begins", F.when(begins, F.col("sp")))
-    return marked.select("sb", "sd", "sp", F.max("begins").over(along).alias("path"))
+    sides = [(side, F.col("sp") + F.lit(more)) for side, more in (("left", 0), ("right", 1))]
+    parts = [own.select(side, "sb", "sd", at.alias("at"), F.count("*").over(Window.partitionBy(side)).alias("degree")).where("degree > 1") for side, at in sides]
+    return parts[0].unionByName(parts[1].withColumnRenamed("right", "left")).select("sb", "sd", "at").distinct()
+
+
+def compacted(runs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``runs`` cut where the path of their source ends."""
+    places = ends.groupBy("sb", "sd").agg(F.array_sort(F.collect_list("at")).alias("ends"))
+    inside = F.filter("ends", lambda at: (at > F.col("sp")) & (at < F.col("sp") + F.col("n")))
+    bounds = F.concat(F.array("sp"), F.coalesce(inside, F.array().cast("array<int>")), F.array((F.col("sp") + F.col("n")).cast("int")))
+    pieces = F.transform(F.slice("bounds", 1, F.size("bounds") - 1), lambda at, k: F.struct(at.alias("at"), F.element_at("bounds", k + 2).alias("to")))
+    cut = runs.join(places, ["sb", "sd"], "left").withColumn("bounds", bounds).withColumn("piece", F.explode(pieces))
+    return cut.select("block", "doc", (F.col("pos") + F.col("piece.at") - F.col("sp")).alias("pos"), (F.col("piece.to") - F.col("piece.at")).cast("long").alias("n"), "o", "so", "sb", "sd", F.col("piece.at").alias("sp"))
 
 
 def repeated_spans(texts: DataFrame, k: int = WORDS, seed: int = SEED_WORDS) -> DataFrame:
-    """Spans of windows that start in a document of smaller id too: (block, doc, pos, n, o, so, sb, sd, sp).
+    """Spans of windows that a document of smaller id holds too: (block, doc, pos, n, o, so, sb, sd, sp).
 
     One row for each stretch of a block's first document with it: n windows from word ``pos`` of document
-    ``doc`` of ``block`` (id ``o``) equal those from word ``sp`` of document ``sd`` of block ``sb`` (id ``so``).
-    ``texts``: a table of (block, o, text), as ``_texts`` makes it.
+    ``doc`` of ``block`` (id ``o``) equal those from word ``sp`` of document ``sd`` of block ``sb`` (id ``so``),
+    on one path. ``texts``: a table of (block, o, text), as ``_texts`` makes it.
     """
-    found = texts.select("block", "o", "text").mapInArrow(_sieve(k, seed), "m long, lo long, hi long, block int")
+    found = texts.mapInArrow(_sieve(k, seed), "m long, lo long, hi long, block int")
     every = Window.partitionBy("m")
     sieved = written(found.withColumns({"a": F.min("lo").over(every), "b": F.max("hi").over(every)}).where("a <> b").select("m", "block"), "substring-sieve")
+    removed(texts.sparkSession)
 
-    met = _joined(texts.select("block", "o", "text"), sieved, _edges(k, seed), "left long, right long, o long, hi long, doc int, pos int, block int")
+    met = _joined(texts, sieved, _edges(k, seed), "left long, right long, o long, hi long, doc int, pos int, block int")
     every = Window.partitionBy("left", "right")
     source = F.min(F.struct("o", "block", "doc", "pos")).over(every).alias("source")
     sourced = met.select("*", source, F.max("hi").over(every).alias("last")).where("source.o <> last")
-    edges = written(sourced.select("left", "right", "o", "hi", "doc", "pos", "block", *(F.col(f"source.{a}").alias(b) for a, b in (("o", "so"), ("block", "sb"), ("doc", "sd"), ("pos", "sp")))), "substring-edges")
+    own = F.expr("block = source.block and doc = source.doc and pos = source.pos")
+    node = [F.when(own, F.col(c)).alias(c) for c in ("left", "right")]
+    # A block whose only document with an edge is its source loses nothing by it.
+    sourced = sourced.where(own | (F.col("hi") != F.col("source.o"))).select("block", "doc", "pos", "o", (F.col("hi") != F.col("source.o")).alias("loses"), *(F.col(f"source.{a}").alias(b) for a, b in (("o", "so"), ("block", "sb"), ("doc", "sd"), ("pos", "sp"))), *node)
+    edges = written(sourced, "substring-edges")
     removed(sieved)
 
-    # A block whose only document with an edge is the source loses nothing by it.
-    losing = edges.where("not (hi = so)").drop("left", "right", "hi")
-    on_path = losing.join(compacted(edges), ["sb", "sd", "sp"])
-    line: list[str | Column] = ["block", "doc", "o", "so", "sb", "sd", "path", (F.col("sp") - F.col("pos")).alias("off")]
-    runs = Window.partitionBy("block", "doc", "o", "so", "sb", "sd", "path", "off").orderBy("pos")
-    numbered = on_path.repartition("block").select(*line, "pos").withColumn("run", F.col("pos") - F.row_number().over(runs))
-    spans = numbered.groupBy("block", "doc", "o", "so", "sb", "sd", "path", "off", "run").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    out = written(spans.select("block", "doc", "pos", "n", "o", "so", "sb", "sd", (F.col("pos") + F.col("off")).alias("sp")), "substring-spans")
+    losing = edges.where("loses").select("block", "doc", "pos", "o", "so", "sb", "sd", "sp")
+    sorted_rows = losing.repartition("block").sortWithinPartitions("block", "doc", "pos")
+    runs = written(sorted_rows.mapInArrow(_runs, "block int, doc int, pos int, o long, so long, sb int, sd int, sp int, n long"), "substring-runs")
+    ends = written(path_ends(edges.where("left is not null").select("left", "right", "sb", "sd", "sp")), "substring-ends")
     removed(edges)
-    return out
+    spans = written(compacted(runs, ends), "substring-spans")
+    removed(runs, ends)
+    return spans
 
 
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:

@@ -182,9 +182,11 @@ def test_spans_name_their_sources(spark):
 def test_compaction_breaks_at_branching_nodes(spark):
     # Edges 1>2>3>4 of one document, and 2>9 of another: node 2 branches.
     rows = [(1, 2, 0, 0, 0), (2, 3, 0, 0, 1), (3, 4, 0, 0, 2), (2, 9, 0, 1, 5)]
-    edges = spark.createDataFrame([(a, b, x, d, p, x, d, p) for a, b, x, d, p in rows], "left long, right long, block int, doc int, pos int, sb int, sd int, sp int")
-    got = {(r["sd"], r["sp"]): r["path"] for r in substring_dedup.compacted(edges).collect()}
-    assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 1, (1, 5): 5}
+    ends = substring_dedup.path_ends(spark.createDataFrame(rows, "left long, right long, sb int, sd int, sp int"))
+    assert sorted(map(tuple, ends.collect())) == [(0, 0, 1), (0, 1, 5)]
+    runs = spark.createDataFrame([(0, 7, 10, 5, 1, 0, 0, 0, 3), (1, 8, 3, 6, 2, 0, 1, 5, 1), (1, 9, 0, 6, 2, 4, 4, 0, 2)], "block int, doc int, pos int, o long, so long, sb int, sd int, sp int, n long")
+    got = sorted((r["doc"], r["pos"], r["n"], r["sp"]) for r in substring_dedup.compacted(runs, ends).collect())
+    assert got == [(7, 10, 1, 0), (7, 11, 2, 1), (8, 3, 1, 5), (9, 0, 2, 0)]
 
 
 def test_a_very_long_text(spark):
