@@ -32,6 +32,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -47,8 +48,11 @@ from .shingles import mix, powers, word_hashes
 WORDS, SEED_WORDS = 13, 5
 #: Bytes of text that a block has on average.
 BLOCK_BYTES = 8_000_000
+#: Bytes that are hashed at once.
+AT_ONCE = 1 << 19
 #: The place of a null id in the order of documents.
 LAST = (1 << 63) - 1
+_BLANK = re.compile(rb"[\x20\t-\r]")
 _SALTS = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -62,6 +66,18 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes, made from some bytes at a time that end in white space."""
+    found, start = [], 0
+    while start < len(data):
+        blank = _BLANK.search(data, start + AT_ONCE)
+        end = blank.end() if blank else len(data)
+        first, words = word_hashes(np.frombuffer(data, np.uint8, end - start, start), fold=False)
+        found.append((first + start, words))
+        start = end
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 class Block:
     """The windows of some texts: the document of each, its position there, its nodes and its least shingle."""
 
@@ -70,7 +86,7 @@ class Block:
         rows = rows.sort_by([("o", "ascending"), ("text", "ascending")])
         self.rows, self.ids = rows, rows["o"].to_numpy()
         self.texts, self.k = [(t or "").encode() for t in rows["text"].to_pylist()], k
-        first, words = word_hashes(np.frombuffer(b"\n".join(self.texts) + b"\n", np.uint8), fold=False)
+        first, words = _words(b"\n".join(self.texts) + b"\n")
         self.bounds = np.searchsorted(first, np.concatenate([[0], np.cumsum([len(t) + 1 for t in self.texts])]))
         doc = np.repeat(np.arange(len(self.texts)), np.diff(self.bounds))
         n = max(len(words) - k + 1, 0)
