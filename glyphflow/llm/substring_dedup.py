@@ -17,7 +17,7 @@ and position) where it occurs first, by document id.
 * Compaction: a document's neighbouring windows whose sources are neighbours are
   one run. A node with one edge in and one out is passed through; runs are joined
   with the other nodes of their source and cut there, so that each is part of one
-  nonbranching path: (document, start, windows, source document, source start).
+  nonbranching path: (place, windows, place of the source).
 * These spans go back to the blocks, where the windows at their coordinates are
   made from the words again, and with both nodes (128 bits) looked up in all
   documents of the block.
@@ -155,24 +155,23 @@ def _sieve(k: int, size: int):
 
 
 def _edges(k: int, size: int):
-    """Of one block the different edges that the sieve leaves: least and largest document, and the place in the least."""
+    """Of one block the different edges that the sieve leaves: the least document, and the place there."""
 
     def emit(texts: pa.Table, sieved: pa.Table) -> pa.Table:
         block = Block(texts, k)
         known, m = np.sort(sieved["m"].to_numpy().view(np.uint64)), block.least(size)
         at = np.flatnonzero(known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m) if len(known) else np.zeros(0, np.int64)
         left, right = (x[at] for x in block.nodes())
-        keys, doc, pos = _edge_keys(left, right), block.doc[at], block.at[at] - block.bounds[block.doc[at]]
+        keys, ids = _edge_keys(left, right), block.ids[block.doc[at]]
         # Windows come by document, documents by id: the first of equal edges is in the least document.
         order = np.argsort(keys, kind="stable")
         first = _firsts(keys[order])
         last = np.append(first[1:], len(order))[: len(first)] - 1
-        low, high = order[first], order[last]
+        low, several = order[first], ids[order[last]] > ids[order[first]]
         out = np.argsort(low)
-        low, high = low[out], high[out]
-        columns = [_signed(left[low]), _signed(right[low]), pa.array(block.ids[doc[low]]), pa.array(block.ids[doc[high]]), *(pa.array(x[low].astype(np.int32)) for x in (doc, pos))]
-        number = texts["block"][0].as_py() if len(texts) else 0
-        return pa.table([*columns, pa.array(np.full(len(first), number, np.int32))], ["left", "right", "o", "hi", "doc", "pos", "block"])
+        low, number = low[out], texts["block"][0].as_py() if len(texts) else 0
+        place = (number << 33) + (block.at[at[low]] << 1) + several[out]
+        return pa.table([_signed(left[low]), _signed(right[low]), pa.array(ids[low]), pa.array(place)], ["left", "right", "o", "place"])
 
     return emit
 
@@ -186,8 +185,8 @@ def _cut(k: int):
         keys = _edge_keys(left, right)
         gone = np.zeros(len(block.words) + 1, np.int64)
         if len(spans):
-            doc, pos, n, source = (spans[c].to_numpy() for c in ("doc", "pos", "n", "so"))
-            first = np.searchsorted(block.at, block.bounds[doc] + pos)
+            word, n, source = (spans[c].to_numpy() for c in ("word", "n", "so"))
+            first = np.searchsorted(block.at, word)
             told = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             source = np.repeat(source, n)
             order = np.argsort(keys[told])
@@ -227,43 +226,42 @@ def _joined(left: DataFrame, right: DataFrame, cogrouped, schema: str) -> DataFr
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring windows whose sources are neighbours too, as one row with their number n; rows come by block, document and position."""
+    """Neighbouring windows whose sources are neighbours too, as one row with their number n; rows come by block and word."""
     for batch in batches:
         if batch.num_rows:
-            block, doc, pos, sb, sd, sp = (batch.column(c).to_numpy().astype(np.int64) for c in ("block", "doc", "pos", "sb", "sd", "sp"))
+            block, word, sb, sw = (batch.column(c).to_numpy().astype(np.int64) for c in ("block", "word", "sb", "sw"))
             step = lambda x, by: x[1:] == x[:-1] + by
-            on = step(block, 0) & step(doc, 0) & step(pos, 1) & step(sb, 0) & step(sd, 0) & step(sp, 1)
-            first = np.flatnonzero(np.concatenate([[True], ~on]))
-            n = pa.array(np.diff(np.append(first, len(pos))))
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns, n], [*batch.schema.names, "n"])
+            # The last windows of a document are no neighbours of the next one's: it ends k - 1 words later.
+            first = np.flatnonzero(np.concatenate([[True], ~(step(block, 0) & step(word, 1) & step(sb, 0) & step(sw, 1))]))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns, pa.array(np.diff(np.append(first, len(word))))], [*batch.schema.names, "n"])
 
 
 def path_ends(own: DataFrame) -> DataFrame:
-    """(sb, sd, at): positions of source documents at which a path ends because the node there branches.
+    """(sb, so, at): words of sources at which a path ends because the node there branches.
 
-    ``own``: the different edges (left, right) with their source (sb, sd, sp). The left node of an edge
-    is at its position, its right node at the next.
+    ``own``: the different edges (left, right) with their source (sb, so, sw). The left node of an edge
+    is at its word, its right node at the next.
     """
-    sides = [(side, F.col("sp") + F.lit(more)) for side, more in (("left", 0), ("right", 1))]
-    parts = [own.select(side, "sb", "sd", at.alias("at"), F.count("*").over(Window.partitionBy(side)).alias("degree")).where("degree > 1") for side, at in sides]
-    return parts[0].unionByName(parts[1].withColumnRenamed("right", "left")).select("sb", "sd", "at").distinct()
+    sides = [(side, F.col("sw") + F.lit(more)) for side, more in (("left", 0), ("right", 1))]
+    parts = [own.select(F.col(side).alias("node"), "sb", "so", at.alias("at"), F.count("*").over(Window.partitionBy(side)).alias("degree")).where("degree > 1") for side, at in sides]
+    return parts[0].unionByName(parts[1]).select("sb", "so", "at").distinct()
 
 
 def compacted(runs: DataFrame, ends: DataFrame) -> DataFrame:
     """``runs`` cut where the path of their source ends."""
-    places = ends.groupBy("sb", "sd").agg(F.array_sort(F.collect_list("at")).alias("ends"))
-    inside = F.filter("ends", lambda at: (at > F.col("sp")) & (at < F.col("sp") + F.col("n")))
-    bounds = F.concat(F.array("sp"), F.coalesce(inside, F.array().cast("array<int>")), F.array((F.col("sp") + F.col("n")).cast("int")))
-    pieces = F.transform(F.slice("bounds", 1, F.size("bounds") - 1), lambda at, k: F.struct(at.alias("at"), F.element_at("bounds", k + 2).alias("to")))
-    cut = runs.join(places, ["sb", "sd"], "left").withColumn("bounds", bounds).withColumn("piece", F.explode(pieces))
-    return cut.select("block", "doc", (F.col("pos") + F.col("piece.at") - F.col("sp")).alias("pos"), (F.col("piece.to") - F.col("piece.at")).cast("long").alias("n"), "o", "so", "sb", "sd", F.col("piece.at").alias("sp"))
+    places = ends.groupBy("sb", "so").agg(F.array_sort(F.collect_list("at")).alias("ends"))
+    inside = F.filter("ends", lambda at: (at > F.col("sw")) & (at < F.col("sw") + F.col("n")))
+    bounds = F.concat(F.array("sw"), F.coalesce(inside, F.array().cast("array<int>")), F.array((F.col("sw") + F.col("n")).cast("int")))
+    pieces = F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), lambda at, k: F.struct(at.alias("at"), F.element_at("bounds", k + 2).alias("to")))
+    cut = runs.join(places, ["sb", "so"], "left").withColumn("bounds", bounds).withColumn("piece", F.explode(pieces))
+    return cut.select("block", (F.col("word") + F.col("piece.at") - F.col("sw")).alias("word"), (F.col("piece.to") - F.col("piece.at")).cast("long").alias("n"), "o", "so", "sb", F.col("piece.at").alias("sw"))
 
 
 def repeated_spans(texts: DataFrame, k: int = WORDS, seed: int = SEED_WORDS) -> DataFrame:
-    """Spans of windows that a document of smaller id holds too: (block, doc, pos, n, o, so, sb, sd, sp).
+    """Spans of windows that a document of smaller id holds too: (block, word, n, o, so, sb, sw).
 
-    One row for each stretch of a block's first document with it: n windows from word ``pos`` of document
-    ``doc`` of ``block`` (id ``o``) equal those from word ``sp`` of document ``sd`` of block ``sb`` (id ``so``),
+    One row for each stretch of a block's first document with it: n windows from ``word`` of ``block`` (its
+    texts end to end), in document ``o``, equal those from word ``sw`` of block ``sb``, in document ``so``, and lie
     on one path. ``texts``: a table of (block, o, text), as ``_texts`` makes it.
     """
     found = texts.mapInArrow(_sieve(k, seed), "m long, lo long, hi long, block int")
@@ -271,21 +269,23 @@ def repeated_spans(texts: DataFrame, k: int = WORDS, seed: int = SEED_WORDS) ->
     sieved = written(found.withColumns({"a": F.min("lo").over(every), "b": F.max("hi").over(every)}).where("a <> b").select("m", "block"), "substring-sieve")
     removed(texts.sparkSession)
 
-    met = _joined(texts, sieved, _edges(k, seed), "left long, right long, o long, hi long, doc int, pos int, block int")
+    # The place of a window: its block, its word there, and in the lowest bit whether several documents of the block have it.
+    met = _joined(texts, sieved, _edges(k, seed), "left long, right long, o long, place long")
     every = Window.partitionBy("left", "right")
-    source = F.min(F.struct("o", "block", "doc", "pos")).over(every).alias("source")
-    sourced = met.select("*", source, F.max("hi").over(every).alias("last")).where("source.o <> last")
-    own = F.expr("block = source.block and doc = source.doc and pos = source.pos")
-    node = [F.when(own, F.col(c)).alias(c) for c in ("left", "right")]
+    found = [F.min(F.struct("o", "place")).over(every).alias("source"), F.max("o").over(every).alias("last"), F.max(F.col("place").bitwiseAND(1)).over(every).alias("several")]
+    sourced = met.select("*", *found).where("several = 1 or source.o <> last")
+    sourced = sourced.withColumns({"own": F.expr("place = source.place"), "loses": F.expr("place & 1 = 1 or o <> source.o")})
     # A block whose only document with an edge is its source loses nothing by it.
-    sourced = sourced.where(own | (F.col("hi") != F.col("source.o"))).select("block", "doc", "pos", "o", (F.col("hi") != F.col("source.o")).alias("loses"), *(F.col(f"source.{a}").alias(b) for a, b in (("o", "so"), ("block", "sb"), ("doc", "sd"), ("pos", "sp"))), *node)
+    node = [F.when(F.col("own"), F.col(c)).alias(c) for c in ("left", "right")]
+    sourced = sourced.where("own or loses").select("place", "o", "loses", F.col("source.o").alias("so"), F.col("source.place").alias("sp"), *node)
     edges = written(sourced, "substring-edges")
     removed(sieved)
 
-    losing = edges.where("loses").select("block", "doc", "pos", "o", "so", "sb", "sd", "sp")
-    sorted_rows = losing.repartition("block").sortWithinPartitions("block", "doc", "pos")
-    runs = written(sorted_rows.mapInArrow(_runs, "block int, doc int, pos int, o long, so long, sb int, sd int, sp int, n long"), "substring-runs")
-    ends = written(path_ends(edges.where("left is not null").select("left", "right", "sb", "sd", "sp")), "substring-ends")
+    of_place = [(F.shiftright(F.col(p), 33).cast("int").alias(b), F.shiftright(F.col(p), 1).bitwiseAND(0xFFFFFFFF).cast("int").alias(w)) for p, b, w in (("place", "block", "word"), ("sp", "sb", "sw"))]
+    losing = edges.where("loses").select(*of_place[0], "o", "so", *of_place[1])
+    sorted_rows = losing.repartition("block").sortWithinPartitions("block", "word")
+    runs = written(sorted_rows.mapInArrow(_runs, "block int, word int, o long, so long, sb int, sw int, n long"), "substring-runs")
+    ends = written(path_ends(edges.where("left is not null").select("left", "right", *of_place[1], "so")), "substring-ends")
     removed(edges)
     spans = written(compacted(runs, ends), "substring-spans")
     removed(runs, ends)

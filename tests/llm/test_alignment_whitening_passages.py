@@ -176,17 +176,17 @@ def test_spans_name_their_sources(spark):
     whole = spans[spans["o"] == 1]
     # The first document's stretches: the passage is left at its node before the other word and met again after it.
     assert set(whole["so"]) == {1} and whole["n"].sum() == 28 and len(whole) >= 2
-    assert (spans["sp"] >= spans["pos"]).sum() > 0 and set(spans["so"]) <= {1, 3}
+    assert set(spans["so"]) <= {1, 3}
 
 
 def test_compaction_breaks_at_branching_nodes(spark):
     # Edges 1>2>3>4 of one document, and 2>9 of another: node 2 branches.
-    rows = [(1, 2, 0, 0, 0), (2, 3, 0, 0, 1), (3, 4, 0, 0, 2), (2, 9, 0, 1, 5)]
-    ends = substring_dedup.path_ends(spark.createDataFrame(rows, "left long, right long, sb int, sd int, sp int"))
-    assert sorted(map(tuple, ends.collect())) == [(0, 0, 1), (0, 1, 5)]
-    runs = spark.createDataFrame([(0, 7, 10, 5, 1, 0, 0, 0, 3), (1, 8, 3, 6, 2, 0, 1, 5, 1), (1, 9, 0, 6, 2, 4, 4, 0, 2)], "block int, doc int, pos int, o long, so long, sb int, sd int, sp int, n long")
-    got = sorted((r["doc"], r["pos"], r["n"], r["sp"]) for r in substring_dedup.compacted(runs, ends).collect())
-    assert got == [(7, 10, 1, 0), (7, 11, 2, 1), (8, 3, 1, 5), (9, 0, 2, 0)]
+    rows = [(1, 2, 0, 5, 0), (2, 3, 0, 5, 1), (3, 4, 0, 5, 2), (2, 9, 0, 6, 25)]
+    ends = substring_dedup.path_ends(spark.createDataFrame(rows, "left long, right long, sb int, so long, sw int"))
+    assert sorted(map(tuple, ends.collect())) == [(0, 5, 1), (0, 6, 25)]
+    runs = spark.createDataFrame([(0, 10, 7, 5, 0, 0, 3), (1, 3, 8, 6, 0, 25, 1), (1, 70, 9, 4, 4, 0, 2)], "block int, word int, o long, so long, sb int, sw int, n long")
+    got = sorted((r["o"], r["word"], r["n"], r["sw"]) for r in substring_dedup.compacted(runs, ends).collect())
+    assert got == [(7, 10, 1, 0), (7, 11, 2, 1), (8, 3, 1, 25), (9, 70, 2, 0)]
 
 
 def test_a_very_long_text(spark):
