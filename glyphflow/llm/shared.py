@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,11 @@ def removed(*tables: DataFrame | SparkSession) -> None:
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         else:
             context = df.sparkContext
-    gc.collect()
-    context._jvm.System.gc()
+    # The first collection lets Spark's cleaner go, the second finds what that held.
+    for pause in (0.3, 0.0):
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(pause)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
