@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or os.path.join(tempfile.gettempdir(), "glyphflow-checkpoints")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     The files survive the loss of any executor, and the job that made them runs
@@ -38,7 +38,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

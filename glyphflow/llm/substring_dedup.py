@@ -216,7 +216,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     name = f"substring_blocks_{uuid.uuid4().hex}"
-    dealt.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(blocks, "block").saveAsTable(name)
+    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(blocks, "block").saveAsTable(name)
     removed(spark)
     return spark.table(name)
 
@@ -254,19 +254,18 @@ def compacted(runs: DataFrame, ends: DataFrame) -> DataFrame:
     bounds = F.concat(F.array("sw"), F.coalesce(inside, F.array().cast("array<int>")), F.array((F.col("sw") + F.col("n")).cast("int")))
     pieces = F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), lambda at, k: F.struct(at.alias("at"), F.element_at("bounds", k + 2).alias("to")))
     cut = runs.join(places, ["sb", "so"], "left").withColumn("bounds", bounds).withColumn("piece", F.explode(pieces))
-    return cut.select("block", (F.col("word") + F.col("piece.at") - F.col("sw")).alias("word"), (F.col("piece.to") - F.col("piece.at")).cast("long").alias("n"), "o", "so", "sb", F.col("piece.at").alias("sw"))
+    return cut.select("block", (F.col("word") + F.col("piece.at") - F.col("sw")).alias("word"), (F.col("piece.to") - F.col("piece.at")).cast("long").alias("n"), "so", "sb", F.col("piece.at").alias("sw"))
 
 
 def repeated_spans(texts: DataFrame, k: int = WORDS, seed: int = SEED_WORDS) -> DataFrame:
-    """Spans of windows that a document of smaller id holds too: (block, word, n, o, so, sb, sw).
+    """Spans of windows that a document of smaller id holds too: (block, word, n, so, sb, sw).
 
     One row for each stretch of a block's first document with it: n windows from ``word`` of ``block`` (its
-    texts end to end), in document ``o``, equal those from word ``sw`` of block ``sb``, in document ``so``, and lie
-    on one path. ``texts``: a table of (block, o, text), as ``_texts`` makes it.
+    texts end to end) equal those from word ``sw`` of block ``sb``, in document ``so``, and lie on one path. ``texts``: a table of (block, o, text), as ``_texts`` makes it.
     """
     found = texts.mapInArrow(_sieve(k, seed), "m long, lo long, hi long, block int")
     every = Window.partitionBy("m")
-    sieved = written(found.withColumns({"a": F.min("lo").over(every), "b": F.max("hi").over(every)}).where("a <> b").select("m", "block"), "substring-sieve")
+    sieved = written(found.withColumns({"a": F.min("lo").over(every), "b": F.max("hi").over(every)}).where("a <> b").select("m", "block"), "substring-sieve", "zstd")
     removed(texts.sparkSession)
 
     # The place of a window: its block, its word there, and in the lowest bit whether several documents of the block have it.
@@ -277,14 +276,14 @@ def repeated_spans(texts: DataFrame, k: int = WORDS, seed: int = SEED_WORDS) ->
     sourced = sourced.withColumns({"own": F.expr("place = source.place"), "loses": F.expr("place & 1 = 1 or o <> source.o")})
     # A block whose only document with an edge is its source loses nothing by it.
     node = [F.when(F.col("own"), F.col(c)).alias(c) for c in ("left", "right")]
-    sourced = sourced.where("own or loses").select("place", "o", "loses", F.col("source.o").alias("so"), F.col("source.place").alias("sp"), *node)
-    edges = written(sourced, "substring-edges")
+    sourced = sourced.where("own or loses").select("place", "loses", F.col("source.o").alias("so"), F.col("source.place").alias("sp"), *node)
+    edges = written(sourced, "substring-edges", "zstd")
     removed(sieved)
 
     of_place = [(F.shiftright(F.col(p), 33).cast("int").alias(b), F.shiftright(F.col(p), 1).bitwiseAND(0xFFFFFFFF).cast("int").alias(w)) for p, b, w in (("place", "block", "word"), ("sp", "sb", "sw"))]
-    losing = edges.where("loses").select(*of_place[0], "o", "so", *of_place[1])
+    losing = edges.where("loses").select(*of_place[0], "so", *of_place[1])
     sorted_rows = losing.repartition("block").sortWithinPartitions("block", "word")
-    runs = written(sorted_rows.mapInArrow(_runs, "block int, word int, o long, so long, sb int, sw int, n long"), "substring-runs")
+    runs = written(sorted_rows.mapInArrow(_runs, "block int, word int, so long, sb int, sw int, n long"), "substring-runs", "zstd")
     removed(texts.sparkSession)
     ends = written(path_ends(edges.where("left is not null").select("left", "right", *of_place[1], "so")), "substring-ends")
     removed(edges)
