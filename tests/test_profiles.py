@@ -63,31 +63,104 @@ def test_max_pooling_skips_the_last_row(spark):
     assert [tuple(r) for r in losses.max_pooled(cells, 48).collect()] == [(1, 0, 2)]
 
 
-def test_curved_line_becomes_straight():
+def heat_images(spark, heats, width, height):
+    """Images that only carry the number of their heatmaps, and the function that looks these up."""
+    blank = np.full(width * height, 255, np.uint8)
+    rows = []
+    for k in range(len(heats)):
+        pixels = blank.copy()
+        pixels[0] = k
+        rows.append((k, width, height, pixels.tobytes()))
+    return spark.createDataFrame(rows, "line_id long, w int, h int, pixels binary"), lambda image: heats[int(image[0, 0])]
+
+
+def test_curved_line_becomes_straight(spark):
     x = np.arange(240)
     base = 40 + 10 * np.sin(x / 50)
     image = np.full((90, 240), 255, np.uint8)
     for k in x:
         image[int(round(base[k] - 8)) : int(round(base[k] + 8)), k] = 0
-    status, found = heatmaps.edge_curves(heat_of(base - 8, base + 8, 90), 240, 90, heatmaps.HeatParams())
-    assert status == "curve" and found["body"] == pytest.approx(16, abs=0.6) and found["confidence"] == pytest.approx(1.0)
-    flat = heatmaps.dewarped(image, found, 4.0, 255)
-    ink = flat < 128
+    df = spark.createDataFrame([(1, 240, 90, image.tobytes())], "line_id long, w int, h int, pixels binary")
+    heat = heat_of(base - 8, base + 8, 90)
+    r = heatmaps.straightened(df, lambda _: heat, heatmaps.HeatParams(line_pad=0.0, line_pad_px=4.0)).first()
+    assert r["status"] == "ok_curved" and r["body"] == pytest.approx(16, abs=0.6) and r["confidence"] == pytest.approx(1.0)
+    ink = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"]) < 128
     tops = ink.argmax(axis=0)[10:-10]
-    assert flat.shape == (24, 240) and tops.max() - tops.min() <= 2 and np.ptp(base) > 15
+    assert ink.shape == (24, 240) and tops.max() - tops.min() <= 2 and np.ptp(base) > 15
 
 
-def test_heat_statuses():
-    p, h = heatmaps.HeatParams(), 40
-    flat = lambda v, n=100: np.full(n, float(v))
-    assert heatmaps.edge_curves(np.zeros((2, h, 100)), 100, h, p)[0] == "empty"
-    assert heatmaps.edge_curves(heat_of(flat(20), flat(8), h), 100, h, p)[0] == "reversed"
-    apart = heat_of(flat(8), flat(20), h)
+def test_heat_statuses(spark):
+    h, n = 40, 100
+    flat = lambda v: np.full(n, float(v))
+    apart, narrow = heat_of(flat(8), flat(20), h), heat_of(flat(8), flat(20), h)
     apart[0, :, 40:], apart[1, :, :60] = 0, 0
-    assert heatmaps.edge_curves(apart, 100, h, p)[0] == "overlap"
-    status, line = heatmaps.straight_edges(heat_of(flat(8), flat(20) + np.arange(100) * 0.1, h), 200, 2 * h, p)
-    assert status == "line" and line["slope"] == pytest.approx(0.1, abs=0.01) and line["intercept"] == pytest.approx(40, abs=1)
-    assert heatmaps.heat_line(np.zeros((h, 100)), 0.5) is None
+    narrow[1] = 0
+    heats = [np.zeros((2, h, n)), narrow, heat_of(flat(20), flat(8), h), apart, heat_of(flat(8), flat(20), h), heat_of(flat(10), flat(12), h)]
+    df, heat_fn = heat_images(spark, heats, 100, h)
+    curved = {r["line_id"]: r for r in heatmaps.straightened(df, heat_fn).collect()}
+    assert [curved[k]["status"] for k in range(6)] == [
+        "curved_baseline_fit_failed", "curved_baseline_fit_failed", "curved_baseline_lines_reversed", "curved_baseline_overlap_too_small", "ok_curved", "curved_baseline_lines_reversed",
+    ]
+    straight = {r["line_id"]: r for r in heatmaps.straightened(df, heat_fn, heatmaps.HeatParams(curved=False)).collect()}
+    assert [straight[k]["status"] for k in range(6)] == ["neural_baseline_fit_failed"] * 2 + ["neural_baseline_lines_reversed", "ok", "ok", "ok"]
+    assert curved[0]["pixels"] == straight[2]["pixels"].replace(b"\x02", b"\x00", 1)
+
+
+def test_straight_edges_in_pixels_of_the_image(spark):
+    h, x = 40, np.arange(100)
+    df, heat_fn = heat_images(spark, [heat_of(8 + 0 * x, 20 + x * 0.1, h)], 200, 2 * h)
+    r = heatmaps.straight_edges(heatmaps.edge_points(df, heat_fn, 0.35)).first()
+    assert r["slope"] == pytest.approx(0.1, abs=0.01) and r["intercept"] == pytest.approx(40, abs=1) and r["top_intercept"] == pytest.approx(16, abs=0.5)
+    assert r["body"] == pytest.approx(34, abs=1.5)
+    out = heatmaps.straightened(df, heat_fn, heatmaps.HeatParams(curved=False, line_pad=0.0)).first()
+    assert out["status"] == "ok" and out["w"] > 200 and 30 < out["h"] < 75
+
+
+def test_smoothing_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.random(int(n)).tolist(), int(r)) for k, (n, r) in enumerate(zip(rng.integers(1, 40, 30), rng.integers(0, 9, 30), strict=True))]
+    out = spark.createDataFrame(rows, "k long, v array<double>, r int").withColumn("s", heatmaps._smoothed(F.col("v"), F.col("r"))).collect()
+    for r in out:
+        assert np.allclose(r["s"], images.mean_smooth(np.array(r["v"]), r["r"]))
+
+
+def plain_robust(x, y, w, h, text_w, coverage):
+    """The same rule, step by step with numpy.polyfit."""
+    keep = (y >= np.quantile(y, 0.05)) & (y <= np.quantile(y, 0.98))
+    a, b, c = (x[keep], y[keep], w[keep]) if keep.sum() > 1 else (x, y, w)
+    slope, icpt = images.ransac(a, b, text_w, max(2.0, 0.055 * h)) or np.polyfit(a, b, 1, w=c)
+    for _ in range(5):
+        r = np.abs(b - slope * a - icpt)
+        m = np.median(r)
+        ok = r <= max(2.0, h * 0.045, m + np.median(np.abs(r - m)) * 2.8)
+        if ok.sum() < max(2, round(len(a) * 0.4)) or ok.all():
+            break
+        a, b, c = a[ok], b[ok], c[ok]
+        slope, icpt = np.polyfit(a, b, 1, w=c)
+    slope, icpt = np.polyfit(a, b, 1, w=c)
+    mad = np.median(np.abs(b - slope * a - icpt))
+    share = np.mean(np.abs(y - slope * x - icpt) <= max(2.0, h * 0.055, 2.5 * mad))
+    return slope, icpt, 0.25 * min(1, coverage / 0.55) + 0.45 * np.clip((share - 0.25) / 0.65, 0, 1) + 0.3 * np.clip(1 - mad / max(2.0, 0.14 * h), 0, 1)
+
+
+def test_robust_lines_equal_a_plain_twin(spark):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for g in range(200):
+        n, h = int(rng.integers(6, 90)), float(rng.integers(10, 90))
+        x = np.sort(rng.choice(300, n, replace=False)).astype(float)
+        y = rng.normal(0, 0.15) * x + rng.normal(20, 5) + rng.normal(0, 1.5, n)
+        bad = rng.random(n) < 0.2
+        y[bad] += rng.normal(0, 25, bad.sum())
+        w = rng.uniform(0.2, 3, n)
+        want[g] = plain_robust(x, y, w, h, float(np.ptp(x) + 1), n / 300)
+        rows += [(g, *map(float, p), h, float(np.ptp(x) + 1), n / 300) for p in zip(x, y, w, strict=True)]
+    points = spark.createDataFrame(rows, "img long, x double, y double, w double, h double, text_w double, coverage double")
+    got = profiles.robust_lines(points, ["img"]).collect()
+    assert len(got) == 200
+    for r in got:
+        assert np.allclose((r["slope"], r["intercept"], r["confidence"]), want[r["img"]], atol=1e-6)
+    long = {r["img"]: r for r in profiles.reweighted_lines(points, ["img"]).collect()}
+    assert len(long) == 200 and all(2 <= r["n"] <= 90 for r in long.values())
 
 
 def test_straightened_keeps_odd_rows(spark):
@@ -96,7 +169,7 @@ def test_straightened_keeps_odd_rows(spark):
     from glyphflow.plans.score_queries import ink_edges
 
     got = {r["line_id"]: (r["status"], r["pixels"] and bytes(r["pixels"])) for r in heatmaps.straightened(df, ink_edges).collect()}
-    assert {k: v[0] for k, v in got.items()} == dict.fromkeys((1, 2, 3), heatmaps.STATUS["empty"]) and got[1][1] == blank and got[2][1] is None
+    assert {k: v[0] for k, v in got.items()} == {1: heatmaps.STATUS["curve"], 2: heatmaps.STATUS["image"], 3: heatmaps.STATUS["image"]} and got[1][1] == blank and got[2][1] is None
     assert heatmaps.straightened(df.limit(0), ink_edges).count() == 0
 
 
