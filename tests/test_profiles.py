@@ -109,21 +109,13 @@ def test_heat_statuses(spark):
 def test_straight_edges_in_pixels_of_the_image(spark):
     h, x = 40, np.arange(100)
     df, heat_fn = heat_images(spark, [heat_of(8 + 0 * x, 20 + x * 0.1, h)], 200, 2 * h)
-    r = heatmaps.straight_edges(heatmaps.edge_points(df, heat_fn, 0.35)).first()
+    r = heatmaps.straight_edges(heatmaps.warm_columns(df, heat_fn, 0.35)).first()
     assert r["slope"] == pytest.approx(0.1, abs=0.01) and r["intercept"] == pytest.approx(40, abs=1) and r["top_intercept"] == pytest.approx(16, abs=0.5)
     assert r["body"] == pytest.approx(34, abs=1.5)
     out = heatmaps.straightened(df, heat_fn, heatmaps.HeatParams(curved=False, line_pad=0.0)).first()
     assert out["status"] == "ok" and out["w"] > 200 and 30 < out["h"] < 75
 
 
-def test_smoothing_equals_numpy(spark):
-    rng = np.random.default_rng(3)
-    rows = [(k, rng.random(int(n)).tolist(), int(r)) for k, (n, r) in enumerate(zip(rng.integers(1, 40, 30), rng.integers(0, 9, 30), strict=True))]
-    out = spark.createDataFrame(rows, "k long, v array<double>, r int").withColumn("s", heatmaps._smoothed(F.col("v"), F.col("r"))).collect()
-    for r in out:
-        assert np.allclose(r["s"], images.mean_smooth(np.array(r["v"]), r["r"]))
-
-
 def plain_robust(x, y, w, h, text_w, coverage):
     """The same rule, step by step with numpy.polyfit."""
     keep = (y >= np.quantile(y, 0.05)) & (y <= np.quantile(y, 0.98))
