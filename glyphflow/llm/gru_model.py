@@ -63,47 +63,55 @@ def unflat(v: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
 
 
 class Lanes:
-    """Texts laid end to end in lanes, longest first into the shortest lane; state is reset where a text begins."""
+    """Texts laid end to end in lanes, longest first into the shortest lane; state is reset where a text begins.
+
+    The lanes lie one behind another in flat arrays, so that memory grows with the
+    tokens and not with the longest text; a window is gathered when it is needed.
+    """
 
     def __init__(self, texts: list[np.ndarray], first: int, lanes: int = LANES):
         import heapq
 
         lanes = max(1, min(lanes, len(texts)))
-        heap, placed = [(0, k) for k in range(lanes)], []
+        heap, members = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
         for k in sorted(range(len(texts)), key=lambda k: (-len(texts[k]), k)):
             n, lane = heapq.heappop(heap)
-            placed.append((k, lane, n))
+            members[lane].append(k)
             heapq.heappush(heap, (n + len(texts[k]), lane))
         # Longest lane first: the lanes still in use at a step are the leading ones.
-        order = {lane: k for k, (_, lane) in enumerate(sorted(heap, key=lambda x: (-x[0], x[1])))}
-        placed = [(k, order[lane], at) for k, lane, at in placed]
-        self.lengths = -np.sort([-n for n, _ in heap])
-        steps = int(self.lengths[0])
-        self.target = np.full((steps, lanes), -1, np.int32)
-        self.source = np.zeros((steps, lanes), np.int32)
-        self.keep = np.ones((steps, lanes), np.float32)
-        self.text = np.zeros((steps, lanes), np.int32)
-        for k, lane, at in placed:
-            own = texts[k]
-            self.target[at : at + len(own), lane] = own
-            self.source[at + 1 : at + len(own), lane] = own[:-1]
-            self.source[at, lane] = first
-            self.keep[at, lane] = 0
-            self.text[at : at + len(own), lane] = k
+        heap.sort(key=lambda x: (-x[0], x[1]))
+        self.lengths = np.array([n for n, _ in heap], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.steps = int(self.lengths[0])
+        order = [k for _, lane in heap for k in members[lane] if len(texts[k])]
+        sizes = np.array([len(texts[k]) for k in order], np.int64)
+        self.target = np.concatenate([np.asarray(texts[k], np.int32) for k in order] or [np.zeros(0, np.int32)])
+        self.text = np.repeat(np.array(order, np.int32), sizes)
+        heads = np.cumsum(sizes) - sizes
+        self.source = np.concatenate([self.target[:1], self.target[:-1]])
+        self.source[heads] = first
+        self.keep = np.ones(len(self.target), np.float32)
+        self.keep[heads] = 0
 
     def windows(self, size: int):
         """(begin, steps, lanes in use) of consecutive windows."""
-        for t0 in range(0, len(self.target), size):
-            yield t0, min(size, len(self.target) - t0), int(np.searchsorted(-self.lengths, -t0, side="left"))
+        for t0 in range(0, self.steps, size):
+            yield t0, min(size, self.steps - t0), int(np.searchsorted(-self.lengths, -t0, side="left"))
+
+    def window(self, t0: int, steps: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(target, source, keep, text), each [steps, b]; the target is -1 past the end of a lane."""
+        t = np.arange(t0, t0 + steps)[:, None]
+        inside = t < self.lengths[:b]
+        at = np.where(inside, self.offsets[:b] + t, 0)
+        return np.where(inside, self.target[at], -1), np.where(inside, self.source[at], 0), np.where(inside, self.keep[at], np.float32(1)), self.text[at]
 
 
-def _forward(p: dict, lanes: Lanes, t0: int, steps: int, h: np.ndarray) -> tuple[dict, np.ndarray]:
+def _forward(p: dict, source: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """What the backward pass needs of each step, and the last state."""
-    b, s = h.shape
+    (b, s), steps = h.shape, len(source)
     kept = {k: np.empty((steps, b, s), np.float32) for k in ("prev", "n", "un", "h")}
     zr = np.empty((steps, b, 2 * s), np.float32)
-    given = p["gates"][lanes.source[t0 : t0 + steps, :b]]
-    keep = lanes.keep[t0 : t0 + steps, :b, None]
+    given, keep = p["gates"][source], keep[:, :, None]
     for t in range(steps):
         h = np.multiply(h, keep[t], out=kept["prev"][t])
         rec = h @ p["recur"]
@@ -183,14 +191,15 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
 def gradients(p: dict, shape: Shape, lanes: Lanes, t0: int, steps: int, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
     """One window of truncated backpropagation: mean gradients of the dense weights, (symbols, gradients) of the gates, the last state."""
     b, s = h.shape
-    f, last = _forward(p, lanes, t0, steps, h)
-    target = lanes.target[t0 : t0 + steps, :b].ravel()
+    target, source, keep, _ = lanes.window(t0, steps, b)
+    f, last = _forward(p, source, keep, h)
+    target, source, keep = target.ravel(), source.ravel(), keep[:, :, None]
     used = np.flatnonzero(target >= 0)
     grads: dict[str, np.ndarray] = {}
     back = np.zeros((steps * b, s), np.float32)
     back[used] = _output(p, shape, f["h"].reshape(-1, s)[used], target[used], grads)[1]
     back = back.reshape(steps, b, s)
-    z, r, n, keep, turned = f["z"], f["r"], f["n"], lanes.keep[t0 : t0 + steps, :b, None], np.ascontiguousarray(p["recur"].T)
+    z, r, n, turned = f["z"], f["r"], f["n"], np.ascontiguousarray(p["recur"].T)
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (f["prev"] - n) * z * (1 - z), f["un"] * r * (1 - r)
     d_in, d_rec, dh = np.empty((steps, b, 3 * s), np.float32), np.empty((steps, b, 3 * s), np.float32), np.zeros((b, s), np.float32)
     for t in range(steps - 1, -1, -1):
@@ -208,7 +217,6 @@ def gradients(p: dict, shape: Shape, lanes: Lanes, t0: int, steps: int, h: np.nd
     scale = np.float32(1 / max(len(used), 1))
     for g in grads.values():
         g *= scale
-    source = lanes.source[t0 : t0 + steps, :b].ravel()
     order = np.argsort(source.astype(np.uint16), kind="stable") if shape.symbols <= 1 << 16 else np.argsort(source, kind="stable")
     own = source[order]
     heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -218,7 +226,7 @@ def gradients(p: dict, shape: Shape, lanes: Lanes, t0: int, steps: int, h: np.nd
 def train(p: dict, shape: Shape, texts: list[np.ndarray], first: int, memory: dict) -> None:
     """One pass of truncated backpropagation over these texts, in place; ``memory`` keeps the squared gradients."""
     lanes = Lanes(texts, first)
-    h = np.zeros((lanes.target.shape[1], STATE), np.float32)
+    h = np.zeros((len(lanes.lengths), STATE), np.float32)
     for t0, steps, b in lanes.windows(WINDOW):
         grads, rows, gates, h = gradients(p, shape, lanes, t0, steps, h[:b])
         for k, g in grads.items():
@@ -236,11 +244,12 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], first: int) -> np.ndar
     """Natural log-likelihood of each whole text; the state is carried across windows."""
     total = np.zeros(len(texts))
     lanes = Lanes(texts, first)
-    h = np.zeros((lanes.target.shape[1], STATE), np.float32)
+    h = np.zeros((len(lanes.lengths), STATE), np.float32)
     for t0, steps, b in lanes.windows(STRETCH):
-        f, h = _forward(p, lanes, t0, steps, h[:b])
-        target = lanes.target[t0 : t0 + steps, :b].ravel()
+        target, source, keep, text = lanes.window(t0, steps, b)
+        f, h = _forward(p, source, keep, h[:b])
+        target = target.ravel()
         used = np.flatnonzero(target >= 0)
         loglik, _ = _output(p, shape, f["h"].reshape(-1, STATE)[used], target[used], None)
-        total += np.bincount(lanes.text[t0 : t0 + steps, :b].ravel()[used], loglik, len(texts))
+        total += np.bincount(text.ravel()[used], loglik, len(texts))
     return total

@@ -46,8 +46,8 @@ def test_scores_equal_a_plain_forward_pass():
 def test_gradients_equal_differences():
     shape, p = model()
     lanes = g.Lanes(TEXTS, 2, lanes=3)
-    steps, used = len(lanes.target), sum(map(len, TEXTS))
-    h = np.zeros((lanes.target.shape[1], g.STATE), np.float32)
+    steps, used = lanes.steps, sum(map(len, TEXTS))
+    h = np.zeros((len(lanes.lengths), g.STATE), np.float32)
     # One window, all lanes: the lengths differ, so short lanes end early.
     grads, rows, gates, _ = g.gradients(p, shape, lanes, 0, steps, h)
     full = dict(grads, gates=np.zeros_like(p["gates"]))
@@ -72,3 +72,36 @@ def test_state_is_carried_across_windows(monkeypatch):
     whole = g.score(p, shape, TEXTS, 2)
     monkeypatch.setattr(g, "STRETCH", 3)
     assert g.score(p, shape, TEXTS, 2) == pytest.approx(whole, rel=1e-5)
+
+
+def test_memory_of_lanes_grows_with_tokens_not_with_the_longest_text():
+    """One text of half a million words beside two thousand of 300."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 7, n).astype(np.int32) for n in (500_000, *[300] * 2000)]
+    total = sum(map(len, texts))
+    tracemalloc.start()
+    lanes = g.Lanes(texts, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * total  # laid as a rectangle it would be 500 000 x 256 x 16 bytes
+    again = [np.zeros(len(t), np.int32) for t in texts]
+    filled = np.zeros(len(texts), np.int64)
+    for t0, steps, b in lanes.windows(50_000):
+        target, source, keep, text = lanes.window(t0, steps, b)
+        for lane in range(b):
+            for k in np.unique(text[target[:, lane] >= 0, lane]).tolist():
+                own = (text[:, lane] == k) & (target[:, lane] >= 0)
+                n = int(own.sum())
+                again[k][filled[k] : filled[k] + n] = target[own, lane]
+                assert (keep[own, lane][0] == 0) == (filled[k] == 0) and (keep[own, lane][1:] == 1).all()
+                filled[k] += n
+    assert all((a == b).all() for a, b in zip(again, texts, strict=True))
+
+
+def test_a_very_long_text_is_scored_whole():
+    shape, p = model()
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 7, n).astype(np.int32) for n in (20_000, 3, 50, 1)]
+    assert g.score(p, shape, texts, 2) == pytest.approx([plain_score(p, shape, t, 2) for t in texts], rel=1e-4)
