@@ -130,10 +130,18 @@ def _forward(p: dict, source: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tu
     return kept | {"z": zr[:, :, :s], "r": zr[:, :, s:]}, h
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of each row (in place, up to a factor a row), their sums; the logarithm of the sums is of the rows as given."""
+def _reach(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What no logit of each output passes: states lie within -1 and 1."""
+    return np.abs(w).sum(axis=1) + np.abs(b)
+
+
+def _exponentials(logits: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row (in place, up to a factor a row), their sums; the logarithm of the sums is of the rows as given.
+
+    Where ``reach``, a bound of the logits, is small they need not be searched for large ones.
+    """
     ones = np.ones(logits.shape[1], np.float32)
-    if np.abs(logits).max(initial=0) < 60:
+    if reach < 59 or np.abs(logits).max(initial=0) < 60:
         np.exp(logits, out=logits)
         total = logits @ ones
         return total, np.log(total)
@@ -153,7 +161,7 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
     logits = x @ p["class_w"].T
     logits += p["class_b"]
     hit = logits[rows, cls]
-    total, log_total = _exponentials(logits)
+    total, log_total = _exponentials(logits, _reach(p["class_w"], p["class_b"]).max())
     loglik = hit - log_total
     back = None
     if grads is not None:
@@ -163,6 +171,7 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
         grads["class_w"], grads["class_b"] = logits.T @ x, logits.sum(axis=0)
         grads["word_w"], grads["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
     bounds = np.searchsorted(cls, np.arange(len(shape.starts)))
+    reach = np.maximum.reduceat(_reach(p["word_w"], p["word_b"]), shape.starts[:-1])
     for c in np.flatnonzero(np.diff(bounds)).tolist():
         i, j, a, b = int(bounds[c]), int(bounds[c + 1]), int(shape.starts[c]), int(shape.starts[c + 1])
         if b - a == 1:  # the only symbol of its class
@@ -171,7 +180,7 @@ def _output(p: dict, shape: Shape, state: np.ndarray, target: np.ndarray, grads:
         logits = own @ w.T
         logits += p["word_b"][a:b]
         loglik[i:j] += logits[k, hit]
-        total, log_total = _exponentials(logits)
+        total, log_total = _exponentials(logits, reach[c])
         loglik[i:j] -= log_total
         if grads is not None:
             logits /= total[:, None]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -71,15 +72,20 @@ def _most_frequent(vocabulary: DataFrame) -> pd.DataFrame:
 def _encode(head: dict[bytes, int]):
     """Head numbers of each text, and its other words with how often it holds them."""
 
+    class Numbers(dict):
+        def __missing__(self, word: bytes) -> int:
+            return OTHER
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         only()
+        number = Numbers(head).__getitem__
         for frame in frames:
             ids, others, times = [], [], []
             for text in frame["text"]:
                 words = tokens(text)
-                own = [head.get(w, OTHER) for w in words]
-                ids.append(np.array(own, np.uint16).tobytes())
-                rare = Counter([w for w, i in zip(words, own, strict=True) if i == OTHER])
+                own = np.fromiter(map(number, words), np.uint16, len(words))
+                ids.append(own.tobytes())
+                rare = Counter(compress(words, (own == OTHER).tolist()))
                 others.append(list(rare))
                 times.append(list(rare.values()))
             yield frame.drop(columns="text").assign(ids=ids, others=others, times=times)
