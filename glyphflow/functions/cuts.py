@@ -42,6 +42,26 @@ def map_cut(position: Column, source: Column, target: Column) -> Column:
     return F.when((source > 0) & (target > 1), F.greatest(F.lit(1), F.least(target - 1, place))).otherwise(F.lit(0))
 
 
+def _window(width: Column, crop: tuple[int, int]) -> tuple[Column, Column]:
+    """Where the scored part of an input begins and ends if ``crop`` columns are cut off left and right."""
+    left = F.least(F.lit(max(0, crop[0])), F.greatest(width - 1, F.lit(0)))
+    return left, F.greatest(left + 1, width - max(0, crop[1]))
+
+
+def input_to_scores(position: Column, width: Column, steps: Column, crop: tuple[int, int] = (0, 0)) -> Column:
+    """A boundary of the input as a boundary of the scores of its cropped part, within 0..steps."""
+    left, right = _window(width, crop)
+    place = half_even((position - left) * steps / (right - left))
+    return F.when((width > 0) & (steps > 0), F.greatest(F.lit(0), F.least(steps, place))).otherwise(F.lit(0))
+
+
+def scores_to_input(boundary: Column, width: Column, steps: Column, crop: tuple[int, int] = (0, 0)) -> Column:
+    """A boundary of the scores as a boundary of the whole input, within 0..width."""
+    left, right = _window(width, crop)
+    place = half_even(left + boundary * (right - left) / F.nullif(steps, F.lit(0)))
+    return F.when((width > 0) & (steps > 0), F.greatest(F.lit(0), F.least(width, place))).otherwise(F.lit(0))
+
+
 def central_span(start: Column, end: Column, fraction: float, least: int = 1) -> Column:
     """struct<start, end>: the central part of an interval, inside it, of at least ``least``."""
     width = end - start
@@ -81,13 +101,13 @@ def _promoted(inner: Column, left: Column, right: Column, mode: str, ratio: floa
     return F.when((F.size(inner) >= 2) & narrow, promoted).otherwise(as_is)
 
 
-def has_ink(interval: Column, ink: Column, height: Column, steps: Column, least_columns: float = 0.035, least_pixels: float = 0.003) -> Column:
+def has_ink(interval: Column, ink: Column, height: Column, steps: Column, least_columns: float = 0.035, least_pixels: float = 0.003, crop: tuple[int, int] = (0, 0)) -> Column:
     """Whether an interval of ``steps`` score columns has ink; ``ink`` counts the foreground of each image column.
 
     Enough columns with at least 2.5 % of the height, or enough pixels, are ink; an interval without image columns has none.
     """
     w = F.size(ink)
-    left, right = map_boundary(interval["start"], steps, w), map_boundary(interval["end"], steps, w)
+    left, right = scores_to_input(interval["start"], w, steps, crop), scores_to_input(interval["end"], w, steps, crop)
     own = F.slice(ink, left + 1, F.greatest(right - left, F.lit(0)))
     least = F.greatest(F.lit(1), half_even(height * 0.025))
     columns, pixels = F.size(F.filter(own, lambda n: n >= least)), F.aggregate(own, F.lit(0).cast("long"), lambda a, n: a + n)

@@ -91,10 +91,11 @@ def segment(
     return out.withColumn("runs", S.runs(F.col("flags"))).drop("_s")
 
 
-def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | None = None, right: Column | None = None, mode: str = "auto", ratio: float = 0.45, least: int = 2, ink: tuple[str, str] | None = None) -> DataFrame:
+def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | None = None, right: Column | None = None, mode: str = "auto", ratio: float = 0.45, least: int = 2, ink: tuple[str, str] | None = None, steps: Column | None = None, crop: tuple[int, int] = (0, 0)) -> DataFrame:
     """The intervals between the bounds and the cuts; edges without ink go, narrow ones are merged.
 
-    ``ink`` names the columns with the foreground count of each image column and the image height.
+    ``ink`` names the columns with the foreground count of each image column and the image height;
+    ``steps`` is the width of the scores where the right bound isn't.
 
     Each step is a column of its own, so that no expression holds another many times.
     """
@@ -103,7 +104,7 @@ def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | Non
     out = out.withColumn("_e", F.array_sort(F.array_distinct(F.concat(F.array("_b.left"), F.col("_b.cuts"), F.array("_b.right")))))
     out = out.withColumn("_iv", F.filter(C.pairs(F.col("_e")), lambda p: p["end"] > p["start"]))
     if ink:
-        out = out.withColumn("_ink", F.transform("_iv", lambda iv: C.has_ink(iv, F.col(ink[0]), F.col(ink[1]), F.col("_right"))))
+        out = out.withColumn("_ink", F.transform("_iv", lambda iv: C.has_ink(iv, F.col(ink[0]), F.col(ink[1]), F.col("_right") if steps is None else steps, crop=crop)))
         out = out.withColumn("_iv", C.trim_empty_edges(F.col("_iv"), F.col("_ink"))).drop("_ink")
     for _ in range(2):  # from the left, then from the right
         out = out.withColumn("_iv", F.reverse(C.merge_narrow_start(F.col("_iv"), least)))
@@ -121,21 +122,50 @@ def interval_classes(df: DataFrame, key: str = "line_id", probs: str = "p", inte
     return rows.select(key, "i", F.col("iv.start").alias("start"), F.col("iv.end").alias("end"), S.top_k(F.col("_mean"), k).alias("candidates"))
 
 
-def decode_with_cuts(df: DataFrame, alphabet: Column, key: str = "line_id", probs: str = "p", cuts: str = "cut_positions", widths: tuple[str, str] = ("input_width", "cut_width"), mode: str = "auto", fraction: float = 0.6, ink: tuple[str, str] | None = None) -> DataFrame:
+def decode_with_cuts(
+    df: DataFrame, alphabet: Column, key: str = "line_id", probs: str = "p", cuts: str = "cut_positions", widths: tuple[str, str] = ("input_width", "cut_width"),
+    mode: str = "auto", fraction: float = 0.6, ink: tuple[str, str] | None = None, bounds: tuple[str, str] | None = None, crop: tuple[int, int] = (0, 0), k: int = 1,
+) -> DataFrame:
     """K3: (key, text, symbols): cuts are mapped to score columns, edges promoted, and each interval read by its best class.
 
-    Lines without an interval that names a class have the empty text.
+    ``bounds`` names the columns with the left and right end of the text in the
+    input; where they are null or empty in score columns the whole line is read.
+    ``crop`` is what the scores leave out of the input at both sides. A symbol has
+    its interval in score columns, the same in cut columns (source_start,
+    source_end) and its ``k`` best classes. Lines without an interval that names a
+    class have the empty text.
     """
-    t = F.size(probs)
-    source, columns = F.col(widths[0]), F.col(widths[1])
+    source, columns, t = F.col(widths[0]), F.col(widths[1]), F.col("_steps")
     inputs = F.transform(F.filter(cuts, lambda c: (c >= 0) & (c < columns)), lambda c: C.half_even((c + 0.5) * source / F.nullif(columns, F.lit(0))))
-    mapped = df.withColumn("_mapped", F.transform(inputs, lambda c: C.map_boundary(c, source, t)))
-    whole = cut_intervals(mapped, "_mapped", right=t, mode=mode, ink=ink)
-    read = interval_classes(whole, key, probs, fraction=fraction).withColumn("top", F.get("candidates", F.lit(0)))
-    symbol = F.struct("i", F.get(alphabet, F.col("top.id")).alias("ch"), F.col("top.value").alias("confidence"), "start", "end")
+    mapped = df.withColumn("_steps", F.size(probs)).withColumn("_mapped", F.transform(inputs, lambda c: C.input_to_scores(c, source, t, crop)))
+    ends = [C.input_to_scores(F.col(c), source, t, crop) for c in bounds] if bounds else [F.lit(0), t]
+    mapped = mapped.withColumn("_from", ends[0]).withColumn("_to", ends[1])
+    bounded = F.coalesce(F.col("_to") > F.col("_from"), F.lit(False)) & (F.lit(True) if not bounds else F.col(bounds[0]).isNotNull() & F.col(bounds[1]).isNotNull())
+    left, right = F.when(bounded, F.col("_from")).otherwise(F.lit(0)), F.when(bounded, F.col("_to")).otherwise(t)
+    whole = cut_intervals(mapped, "_mapped", left, right, mode, ink=ink, steps=t, crop=crop)
+    read = interval_classes(whole, key, probs, fraction=fraction, k=k).withColumn("top", F.get("candidates", F.lit(0)))
+    symbol = F.struct("i", F.get(alphabet, F.col("top.id")).alias("ch"), F.col("top.value").alias("confidence"), "start", "end", "candidates")
     known = read.where(F.get(alphabet, F.col("top.id")).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(symbol)).alias("symbols"))
+    out = df.select(key, F.size(probs).alias("_steps"), columns.alias("_columns")).join(known, key, "left")
+    place = lambda c: C.map_boundary(c, t, F.col("_columns"))
+    placed = F.transform("symbols", lambda s: s.withField("source_start", place(s["start"])).withField("source_end", place(s["end"])))
     text = F.array_join(F.transform("symbols", lambda s: s["ch"]), "")
-    return df.select(key).join(known, key, "left").select(key, F.coalesce(text, F.lit("")).alias("text"), "symbols")
+    return out.select(key, F.coalesce(text, F.lit("")).alias("text"), placed.alias("symbols"))
+
+
+def predict_with_cuts(lines: DataFrame, alphabet: Column, key: str = "task_id", probs: str = "p", scores: str = "cut_scores", segmentation: dict | None = None, **decoding) -> DataFrame:
+    """(key, pred, error) of lines with class scores and cut scores: segmented (K2), then read through their cuts (K3).
+
+    A line that already has an error, or lacks either score, keeps its row with the
+    empty text; the latter with the error ``no_scores``. The result joins to tasks
+    as any predictions do.
+    """
+    lacking = (F.coalesce(F.size(probs), F.lit(0)) <= 0) | (F.coalesce(F.size(scores), F.lit(0)) <= 0)
+    error = F.coalesce("error", F.lit("")) if "error" in lines.columns else F.lit("")
+    rows = lines.withColumn("error", F.when(error != "", error).when(lacking, "no_scores").otherwise(""))
+    cut = segment(rows.where("error = ''"), scores, **(segmentation or {})).withColumn("cut_width", F.size(scores))
+    read = decode_with_cuts(cut, alphabet, key, probs, **decoding).select(key, F.col("text").alias("pred"))
+    return rows.select(key, "error").join(read, key, "left").select(key, F.coalesce("pred", F.lit("")).alias("pred"), "error")
 
 
 def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], batch: int = 32) -> DataFrame:

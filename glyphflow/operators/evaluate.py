@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.functions.text import char_accuracy
+from glyphflow.operators import decode
 
 EVAL_COLUMNS = ("task_id", "image", "gt", "pred", "exact_match", "char_accuracy", "levenshtein", "gt_len", "pred_len", "error")
 SEG_COLUMNS = ("task_id", "image", "gt", "gt_len", "pred_len", "cut_count", "length_error", "abs_length_error", "cuts", "error")
@@ -79,3 +80,11 @@ def evaluate(tasks: DataFrame, preds: DataFrame, by: list[str] | None = None) ->
     """K5: report rows and metrics of predictions (task_id, pred, error) for tasks (task_id, image, gt)."""
     rows = measured(with_predictions(tasks, preds))
     return report_rows(rows), ocr_metrics(rows, by)
+
+
+def evaluate_with_segmentator(tasks: DataFrame, lines: DataFrame, alphabet: Column, by: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """K5 through a segmentator: as ``evaluate``, with predictions read from class scores and cut scores through the cuts.
+
+    Tasks have no error of their own here; those without a line in ``lines`` count as read with the empty text.
+    """
+    return evaluate(tasks, decode.predict_with_cuts(lines, alphabet, **options), by)
