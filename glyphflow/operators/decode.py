@@ -113,7 +113,8 @@ def cut_intervals(df: DataFrame, cuts: str = "cut_positions", left: Column | Non
 
 def interval_classes(df: DataFrame, key: str = "line_id", probs: str = "p", intervals: str = "intervals", fraction: float = 0.6, least: int = 1, k: int = 1) -> DataFrame:
     """Per interval the k best classes by mean probability over its central part: (key, i, start, end, candidates)."""
-    rows = df.select(key, probs, F.posexplode(intervals).alias("i", "iv"))
+    # Outer, as the filter inferred for a plain one would be pushed down with all steps of the intervals written out in it.
+    rows = df.select(key, probs, F.posexplode_outer(intervals).alias("i", "iv"))
     rows = rows.withColumn("_c", C.central_span(F.col("iv.start"), F.col("iv.end"), fraction, least))
     own = F.slice(F.col(probs), F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))
     rows = rows.withColumn("_own", own).where(F.size("_own") > 0)
