@@ -169,8 +169,8 @@ def predict_with_cuts(lines: DataFrame, alphabet: Column, key: str = "task_id",
     return rows.select(key, "error").join(read, key, "left").select(key, F.coalesce("pred", F.lit("")).alias("pred"), "error")
 
 
-def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], batch: int = 32) -> DataFrame:
-    """K4, F1: lines (line_id, h, w, pixels) scored by a function of a batch uint8[n, h, w] -> list of [t, class].
+def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], batch: int = 32, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
+    """K4, F1: lines (keep.., h, w, pixels) scored by a function of a batch uint8[n, h, w] -> list of [t, class].
 
     Batches are padded with white to their widest line; a failing batch is tried
     line by line, and a failing line keeps its error. Lines are sorted by width
@@ -187,7 +187,7 @@ def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], bat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.sort_values(["h", "w", "line_id"])
+            frame = frame.sort_values(["h", "w", *keep])
             for _, same in frame.groupby("h", sort=False):
                 for k in range(0, len(same), batch):
                     part, out, errors = same.iloc[k : k + batch], [], []
@@ -201,6 +201,7 @@ def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], bat
                             except Exception as e:
                                 out.append(np.zeros((0, 0)))
                                 errors.append(f"{type(e).__name__}: {e}")
-                    yield pd.DataFrame({"line_id": part["line_id"].to_numpy(), "p": [[r.astype(float).tolist() for r in s] for s in out], "error": errors})
+                    yield pd.DataFrame({**{c: part[c].to_numpy() for c in keep}, "p": [[r.astype(float).tolist() for r in s] for s in out], "error": errors})
 
-    return df.select("line_id", "h", "w", "pixels").mapInPandas(run, "line_id long, p array<array<double>>, error string")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, "h", "w", "pixels").mapInPandas(run, f"{kinds}, p array<array<double>>, error string")
