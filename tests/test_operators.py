@@ -41,11 +41,11 @@ def test_line_detection_on_a_tilted_line():
         y = 20 + round(x * 0.05)
         image[y : y + 10, x : x + 5] = 0
     mask = images.clean_mask(images.text_masks(image)[0])
-    found = images.detect_line(mask, images.LOWER)
+    found = images.surest(images.profile_lines(mask, images.LOWER))
     assert found["slope"] == pytest.approx(0.05, abs=0.01) and found["confidence"] > 0.5
-    out, status = images.baseline_cropped(image, 20)
-    assert status == "deskewed" and out.shape[0] < image.shape[0]
-    assert images.baseline_cropped(np.full((20, 40), 255, np.uint8), 20)[1] in ("no_text", "rejected")
+    out, status = images.baseline_cropped(image, vars(images.Params()))
+    assert status == "ok_deskewed" and out.shape[0] < image.shape[0]
+    assert images.baseline_cropped(np.full((20, 40), 255, np.uint8), vars(images.Params()))[1] == "not_enough_foreground"
 
 
 def test_weighted_fit_is_polyfit():
