@@ -19,6 +19,17 @@ def mark_missing_images(tasks: DataFrame, images: DataFrame) -> DataFrame:
     return tasks.join(have, "image", "left").withColumn("error", error).drop("_found")
 
 
+def with_images(tasks: DataFrame, images: DataFrame) -> DataFrame:
+    """Tasks (with image) and the pixels of their images (image, path, h, w, c, pixels, error).
+
+    Every task stays: without a file the error names it, with a broken file it is that
+    file's. Of several files of one name the one of least path counts.
+    """
+    one = images.groupBy("image").agg(F.min_by(F.struct("h", "w", "c", "pixels", "error"), "path").alias("_i"))
+    error = F.coalesce("_i.error", F.concat(F.lit("image_not_found: "), F.coalesce("image", F.lit(""))))
+    return tasks.join(one, "image", "left").select(*tasks.columns, *(F.col(f"_i.{c}").alias(c) for c in ("h", "w", "c", "pixels")), error.alias("error"))
+
+
 def with_predictions(tasks: DataFrame, preds: DataFrame, on: str | list[str] = "task_id") -> DataFrame:
     """Every task stays; without a prediction pred is the empty text."""
     return tasks.join(preds, on, "left").withColumn("pred", F.coalesce("pred", F.lit(""))).withColumn("error", F.coalesce("error", F.lit("")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.operators import textlines
+from glyphflow.operators import evaluate, textlines
+from glyphflow.sources import labels, sinks
 
 from . import inputs as I
 
 INK = 0.6
+ENDINGS = (".png", ".PNG", ".Png")
 
 
 def component_bottoms(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +37,18 @@ def line_choice(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("line_id", "strict", F.col("ok").cast("int").alias("ok"), "status", "candidates", F.round("confidence", 6).alias("confidence"), F.round("slope", 6).alias("slope"), "intercept", "top_intercept")
 
 
-QUERIES = (component_bottoms, line_choice)
+def image_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding as an image of 8 x 8, written under endings in several cases, listed, decoded and met with its task; some are never written."""
+    name = F.concat(F.lit("patch_"), F.col("line_id").cast("string"), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("line_id") % 3 + 1).cast("int")))
+    grey = F.transform("cut_scores", lambda v: F.lpad(F.hex(F.round(v * 255).cast("int")), 2, "0"))
+    rows = I.cut_scores(spark, sf).where(F.size("cut_scores") == 64).select("line_id", name.alias("name"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), F.unhex(F.array_join(grey, "")).alias("pixels"))
+    root = I.scratch(spark, "images")
+    sinks.write_images(rows.where("line_id % 97 <> 13"), root)
+    met = evaluate.with_images(rows.select("line_id", F.col("name").alias("image")), labels.read_images(spark, root))
+    return met.select("line_id", "image", "h", "w", F.hex("pixels").alias("pixels"), "error")
+
+
+QUERIES = (component_bottoms, line_choice, image_folder)
 
 
 def _choice(strict: bool) -> str:
@@ -52,6 +65,9 @@ def _choice(strict: bool) -> str:
 
 
 ORACLES = {
+    "image_folder": f"""WITH {I.CUT_SCORES}, px AS (SELECT line_id, upper(string_agg(printf('%02x', round(s * 255)::INT), '' ORDER BY i)) AS pixels FROM sc GROUP BY line_id),
+        nm AS (SELECT *, 'patch_' || line_id || ['.png', '.PNG', '.Png'][line_id % 3 + 1] AS image, line_id % 97 = 13 AS lost FROM px)
+        SELECT line_id, image, CASE WHEN NOT lost THEN 8 END AS h, CASE WHEN NOT lost THEN 8 END AS w, CASE WHEN NOT lost THEN pixels END AS pixels, CASE WHEN lost THEN 'image_not_found: ' || image ELSE '' END AS error FROM nm""",
     "component_bottoms": f"""WITH RECURSIVE {I.CUT_SCORES}, ink AS (SELECT line_id, i, i % 8 AS x, i // 8 AS y FROM sc WHERE s >= {INK}),
         reach AS (SELECT line_id, i AS a, i, x, y FROM ink UNION SELECT r.line_id, r.a, k.i, k.x, k.y FROM reach r JOIN ink k ON k.line_id = r.line_id AND abs(k.x - r.x) <= 1 AND abs(k.y - r.y) <= 1),
         co AS (SELECT line_id, i, any_value(x) AS x, any_value(y) AS y, min(a) AS first FROM reach GROUP BY line_id, i),

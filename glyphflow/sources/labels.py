@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ EXPORT = "id bigint, data struct<image:string>, annotations array<struct<result:
 _NESTED = EXPORT.replace("id bigint", "id:bigint").replace("data struct", "data:struct").replace("annotations array", "annotations:array")
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
 FONT_ENDINGS = ("ttf", "otf", "ttc")
+#: Shares of red, green and blue in luma, of 65536 (fixed values).
+LUMA = np.array([19595, 38470, 7471], np.uint32)
 
 
 def base_name(path: Column) -> Column:
@@ -50,24 +56,42 @@ def union_paths(listed: DataFrame, explicit: DataFrame, shown: int = 12) -> Data
     return both.groupBy("path").agg(F.min("rank").alias("rank")).orderBy("rank", "path").select("path")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, h, w, c, pixels) of decodable images, grey by luma where they have colours."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
+def _any_case(endings: tuple[str, ...]) -> str:
+    """A path glob of endings in any letter case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+
 
-    def grey(frames):
-        import numpy as np
-        import pandas as pd
+def read_images(spark: SparkSession, root: str, channels: int = 1, endings: tuple[str, ...] = IMAGE_ENDINGS) -> DataFrame:
+    """(path, image, h, w, c, pixels, error) of the images below a folder, by their ending in any case.
 
+    One channel is luma, three are red, green, blue; transparency is left out. A file
+    that can't be decoded keeps its row: no pixels, and the error ``cannot_decode``
+    with its name. A folder without such files gives no rows.
+    """
+    if channels not in (1, 3):
+        raise ValueError("images have 1 or 3 channels")
+    found = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(endings)).load(root).select("image.*")
+    kinds = "path string, h int, w int, c int, pixels binary"
+
+    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
+                if r.height <= 0:
+                    out.append((r.origin, None, None, None, None))
+                    continue
                 px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                if r.nChannels >= 3:  # Spark stores blue, green, red
-                    px = np.rint(px[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
-                out.append((r.origin, r.height, r.width, 1, px.tobytes()))
-            yield pd.DataFrame(out, columns=["path", "h", "w", "c", "pixels"])
-
-    return raw.mapInPandas(grey, "path string, h int, w int, c int, pixels binary")
+                px = px[..., 2::-1] if r.nChannels >= 3 else px[..., :1]  # Spark stores blue, green, red
+                if channels == 1 and px.shape[2] == 3:
+                    px = (px.astype(np.uint32) @ LUMA + 32768 >> 16).astype(np.uint8)
+                elif channels == 3 and px.shape[2] == 1:
+                    px = np.repeat(px, 3, axis=2)
+                out.append((r.origin, r.height, r.width, channels, px.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "h", "w", "c", "pixels"]).astype({k: "Int32" for k in "hwc"})
+
+    rows = found.mapInPandas(convert, kinds).withColumn("image", base_name(F.col("path")))
+    error = F.when(F.col("pixels").isNull(), F.concat(F.lit("cannot_decode: "), F.col("image"))).otherwise("")
+    return rows.select("path", "image", "h", "w", "c", "pixels", error.alias("error"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
