@@ -106,21 +106,24 @@ class Lanes:
         return np.where(inside, self.target[at], -1), np.where(inside, self.source[at], 0), np.where(inside, self.keep[at], np.float32(1)), self.text[at]
 
 
-def _forward(p: dict, source: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """What the backward pass needs of each step, and the last state."""
+def _forward(p: dict, source: np.ndarray, keep: np.ndarray, h: np.ndarray, backward: bool = True) -> tuple[dict, np.ndarray]:
+    """The states of each step (h), with ``backward`` also what the backward pass needs of it, and the last state."""
     (b, s), steps = h.shape, len(source)
-    kept = {k: np.empty((steps, b, s), np.float32) for k in ("prev", "n", "un", "h")}
-    zr = np.empty((steps, b, 2 * s), np.float32)
-    given, keep = p["gates"][source], keep[:, :, None]
+    slots = steps if backward else 1
+    kept = {k: np.empty((slots, b, s), np.float32) for k in ("prev", "n", "un")} | {"h": np.empty((steps, b, s), np.float32)}
+    zr = np.empty((slots, b, 2 * s), np.float32)
+    given, keep, rec = p["gates"][source], keep[:, :, None], np.empty((b, 3 * s), np.float32)
     for t in range(steps):
-        h = np.multiply(h, keep[t], out=kept["prev"][t])
-        rec = h @ p["recur"]
-        gate = np.add(given[t, :, : 2 * s], rec[:, : 2 * s], out=zr[t])
+        k = t if backward else 0
+        h = np.multiply(h, keep[t], out=kept["prev"][k])
+        np.matmul(h, p["recur"], out=rec)
+        gate = np.add(given[t, :, : 2 * s], rec[:, : 2 * s], out=zr[k])
         np.exp(np.negative(gate, out=gate), out=gate)
         gate += 1
         np.reciprocal(gate, out=gate)
-        kept["un"][t] = rec[:, 2 * s :]
-        n = np.multiply(gate[:, s:], rec[:, 2 * s :], out=kept["n"][t])
+        if backward:
+            kept["un"][k] = rec[:, 2 * s :]
+        n = np.multiply(gate[:, s:], rec[:, 2 * s :], out=kept["n"][k])
         n += given[t, :, 2 * s :]
         np.tanh(n, out=n)
         now = np.subtract(h, n, out=kept["h"][t])
@@ -130,6 +133,9 @@ def _forward(p: dict, source: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tu
     return kept | {"z": zr[:, :, :s], "r": zr[:, :, s:]}, h
 
 
+_ONES = np.ones(4096, np.float32)
+
+
 def _reach(w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What no logit of each output passes: states lie within -1 and 1."""
     return np.abs(w).sum(axis=1) + np.abs(b)
@@ -140,7 +146,7 @@ def _exponentials(logits: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndar
 
     Where ``reach``, a bound of the logits, is small they need not be searched for large ones.
     """
-    ones = np.ones(logits.shape[1], np.float32)
+    ones = _ONES[: logits.shape[1]] if logits.shape[1] <= len(_ONES) else np.ones(logits.shape[1], np.float32)
     if reach < 59 or np.abs(logits).max(initial=0) < 60:
         np.exp(logits, out=logits)
         total = logits @ ones
@@ -208,8 +214,13 @@ def gradients(p: dict, shape: Shape, lanes: Lanes, t0: int, steps: int, h: np.nd
     back = np.zeros((steps * b, s), np.float32)
     back[used] = _output(p, shape, f["h"].reshape(-1, s)[used], target[used], grads)[1]
     back = back.reshape(steps, b, s)
-    z, r, n, turned = f["z"], f["r"], f["n"], np.ascontiguousarray(p["recur"].T)
-    to_n, to_z, to_r = (1 - z) * (1 - n * n), (f["prev"] - n) * z * (1 - z), f["un"] * r * (1 - r)
+    z, r, n, turned = np.ascontiguousarray(f["z"]), np.ascontiguousarray(f["r"]), f["n"], np.ascontiguousarray(p["recur"].T)
+    off = 1 - z
+    to_n, to_z, to_r = 1 - n * n, f["prev"] - n, np.multiply(f["un"], r, out=f["un"])
+    to_n *= off
+    to_z *= z
+    to_z *= off
+    to_r *= np.subtract(1, r, out=off)
     d_in, d_rec, dh = np.empty((steps, b, 3 * s), np.float32), np.empty((steps, b, 3 * s), np.float32), np.zeros((b, s), np.float32)
     for t in range(steps - 1, -1, -1):
         dh += back[t]
@@ -256,7 +267,7 @@ def score(p: dict, shape: Shape, texts: list[np.ndarray], first: int) -> np.ndar
     h = np.zeros((len(lanes.lengths), STATE), np.float32)
     for t0, steps, b in lanes.windows(STRETCH):
         target, source, keep, text = lanes.window(t0, steps, b)
-        f, h = _forward(p, source, keep, h[:b])
+        f, h = _forward(p, source, keep, h[:b], backward=False)
         target = target.ravel()
         used = np.flatnonzero(target >= 0)
         loglik, _ = _output(p, shape, f["h"].reshape(-1, STATE)[used], target[used], None)
