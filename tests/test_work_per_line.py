@@ -127,3 +127,21 @@ def test_below_a_share_as_the_uniform_draw(spark):
     df = spark.range(20000)
     for share in (0.0, 0.002, 0.25, 0.999):
         assert df.where(T.hash_below(1, F.col("id"), F.col("id"), share) != (T.hash_uniform(1, F.col("id"), F.col("id")) < share)).count() == 0
+
+
+def test_lines_as_good_are_judged_at_once(monkeypatch):
+    """Pairs of level text tie by hundreds: the medians of their inliers are not taken one by one."""
+    import numpy as np
+
+    from glyphflow.operators import images
+
+    rng = np.random.default_rng(4)
+    x = np.arange(60.0)
+    y = 10 + rng.integers(0, 2, 60) * 0.5
+    plain, calls = np.median, []
+    monkeypatch.setattr(images.np, "median", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert images.ransac(x, y, 60.0, 2.0) == (0.0, 10.0) or images.ransac(x, y, 60.0, 2.0)[0] == 0.0
+    assert len(calls) <= 1
+    for n in (1, 2, 5, 8):
+        v = rng.random(n)
+        assert images.middle_value(v) == plain(v)
