@@ -70,15 +70,17 @@ QUERIES = (segmentation_sweep, recognition_study)
 
 
 def _resized(name: str, source: str, n: int, m: int) -> str:
-    """``source`` (line_id, i, v) of n columns with m columns instead: the cubic kernel at a = -0.5, wider when shrinking."""
+    """``source`` (line_id, i, v) of n columns with m columns instead: the cubic kernel at a = -0.5, wider when shrinking, in whole numbers as ``images.resize``."""
     scale = max(1.0, n / m)
     return f"""{name}_c AS (SELECT j, (j + 0.5::DOUBLE) * {n} / {m} - 0.5::DOUBLE AS c FROM range({m}) r(j)),
-    {name}_t AS (SELECT j, greatest(0, least({n - 1}, a)) AS i, abs(a - c) / {scale!r}::DOUBLE AS t FROM (SELECT j, c, unnest(range((floor(c) - 3)::BIGINT, (floor(c) + 5)::BIGINT)) AS a FROM {name}_c)),
-    {name}_k AS (SELECT j, i, CASE WHEN t < 1 THEN 1.5::DOUBLE * t * t * t - 2.5::DOUBLE * t * t + 1 ELSE -0.5::DOUBLE * t * t * t + 2.5::DOUBLE * t * t - 4 * t + 2 END AS k FROM {name}_t WHERE t < 2),
-    {name} AS (SELECT line_id, j AS i, greatest(0, least(255, round_even(sum(v * k) / sum(k), 0))) AS v FROM {name}_k JOIN {source} USING (i) GROUP BY line_id, j)"""
+    {name}_t AS (SELECT j, a, abs(a - c) / {scale!r}::DOUBLE AS t FROM (SELECT j, c, unnest(range((floor(c) - 3)::BIGINT, (floor(c) + 5)::BIGINT)) AS a FROM {name}_c)),
+    {name}_f AS (SELECT j, a, t, CASE WHEN t < 1 THEN 1.5::DOUBLE * t * t * t - 2.5::DOUBLE * t * t + 1 ELSE -0.5::DOUBLE * t * t * t + 2.5::DOUBLE * t * t - 4 * t + 2 END AS f FROM {name}_t WHERE t < 2),
+    {name}_w AS (SELECT j, a, t, round_even(f / sum(f) OVER (PARTITION BY j) * {images.PART}, 0)::BIGINT AS k FROM {name}_f),
+    {name}_k AS (SELECT j, greatest(0, least({n - 1}, a)) AS i, k + CASE WHEN row_number() OVER (PARTITION BY j ORDER BY t, a) = 1 THEN {images.PART} - sum(k) OVER (PARTITION BY j) ELSE 0 END AS k FROM {name}_w),
+    {name} AS (SELECT line_id, j AS i, greatest(0, least(255, (sum(v * k)::BIGINT + {images.PART // 2}) // {images.PART})) AS v FROM {name}_k JOIN {source} USING (i) GROUP BY line_id, j)"""
 
 
-_STRIPS = f"""px AS (SELECT line_id, i, round(s * 255) AS v FROM sc), {_resized('p1', 'px', 64, 51)}, {_resized('p2', 'px', 64, 85)}, {_resized('p3', 'p2', 85, 68)},
+_STRIPS = f"""px AS (SELECT line_id, i, round(s * 255)::BIGINT AS v FROM sc), {_resized('p1', 'px', 64, 51)}, {_resized('p2', 'px', 64, 85)}, {_resized('p3', 'p2', 85, 68)},
     geo AS (SELECT 1.0::DOUBLE AS scale_x, 0.0::DOUBLE AS y_pad, line_id, i, v FROM px UNION ALL SELECT 0.8, 0.0, * FROM p1 UNION ALL SELECT 1.0, -0.25, * FROM p2 UNION ALL SELECT 0.8, -0.25, * FROM p3)"""
 
 

@@ -145,3 +145,20 @@ def test_lines_as_good_are_judged_at_once(monkeypatch):
     for n in (1, 2, 5, 8):
         v = rng.random(n)
         assert images.middle_value(v) == plain(v)
+
+
+def test_resized_pixels_are_exact_sums_as_in_sql():
+    """Weights are whole numbers that add up; DuckDB makes the same ones, and the same pixels, halves included."""
+    import duckdb
+    import numpy as np
+
+    from glyphflow.operators import images
+    from glyphflow.plans.study_queries import _resized
+
+    rows = np.random.default_rng(1).integers(0, 256, (400, 64), np.uint8)
+    for n, m in ((64, 51), (64, 85)):
+        k = images._cubic(n, m)[1]
+        assert k.dtype == np.int64 and (k.sum(axis=1) == images.PART).all()
+        values = ", ".join(f"({r}, {i}, {v}::BIGINT)" for r, row in enumerate(rows) for i, v in enumerate(row.tolist()))
+        got = duckdb.sql(f"WITH px AS (SELECT * FROM (VALUES {values}) p(line_id, i, v)), {_resized('p', 'px', n, m)} SELECT v FROM p ORDER BY line_id, i").fetchnumpy()["v"]
+        assert (got.reshape(len(rows), m) == images.resize(rows, len(rows), m)).all()
