@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
+from glyphflow.operators import augment as A
 from glyphflow.operators import heatmaps
 from glyphflow.plans import score_queries
 
@@ -35,3 +36,18 @@ def test_edges_of_all_images_never_go_through_the_driver(spark):
     for curved in (True, False):
         plan = physical(heatmaps.straightened(df, lambda image: np.zeros((2, *image.shape)), heatmaps.HeatParams(curved=curved)))
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_image_and_maps_move_in_one_call_as_each_alone():
+    rng = np.random.default_rng(5)
+    image, maps = rng.random((7, 11)), rng.random((2, 7, 11)).astype(np.float32)
+    for name in A.GEOMETRIC:
+        own, beside, used = A.moved(image, maps, name, A.rng_for(3, 8, name), {})
+        alone, _, again = A.OPS[name](image, A.rng_for(3, 8, name), {})
+        assert used == again and np.array_equal(own, alone)
+        for k in (0, 1):
+            assert np.array_equal(beside[k], np.clip(A.OPS[name](maps[k].astype(float), A.rng_for(3, 8, name), {"fill": 0.0})[0], 0, 1))
+
+
+def test_patches_are_dealt_out_before_they_are_augmented(spark):
+    assert "REPARTITION_BY_NUM" in physical(score_queries.augment_maps(spark, SF))
