@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphflow.functions.scores import bound
+
 #: Metrics for which less is better; the others are maximised (fixed values).
 MINIMISED = ("average_levenshtein", "total_levenshtein", "average_abs_length_error", "total_abs_length_error", "average_signed_length_error", "normalized_length_error")
 
@@ -71,8 +73,9 @@ def epoch_join(log: DataFrame, summary: DataFrame, run: list[str]) -> DataFrame:
 
 def window_features(values: Column, radius: int) -> Column:
     """array<array<double>> of the values around each column, zeros outside."""
-    near = lambda i: F.transform(F.sequence(i - radius, i + radius), lambda j: F.coalesce(F.when(j >= 0, F.get(values, j)), F.lit(0.0)).cast("double"))
-    return F.transform(values, lambda v, i: near(i))
+    near = lambda own, i: F.transform(F.sequence(i - radius, i + radius), lambda j: F.coalesce(F.when(j >= 0, F.get(own, j)), F.lit(0.0)).cast("double"))
+    # The values are computed once for the array, not for each place that is read.
+    return bound(values, lambda own: F.transform(own, lambda v, i: near(own, i)))
 
 
 def column_classifier(rows: DataFrame, weight: str | None = None, **options) -> LogisticRegressionModel:
