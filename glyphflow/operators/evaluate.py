@@ -10,13 +10,21 @@ from glyphflow.operators import decode
 
 EVAL_COLUMNS = ("task_id", "image", "gt", "pred", "exact_match", "char_accuracy", "levenshtein", "gt_len", "pred_len", "error")
 SEG_COLUMNS = ("task_id", "image", "gt", "gt_len", "pred_len", "cut_count", "length_error", "abs_length_error", "cuts", "error")
+#: Tasks that one task of Spark sorts when images are looked for.
+ROWS = 1 << 20
 
 
-def mark_missing_images(tasks: DataFrame, images: DataFrame) -> DataFrame:
-    """Tasks (with image) left-joined to the listed image names; ``error`` names what is missing."""
-    have = images.select("image").distinct().withColumn("_found", F.lit(True))
+def mark_missing_images(tasks: DataFrame, images: DataFrame, rows: int | None = None) -> DataFrame:
+    """Tasks (with image) left-joined to the listed image names; ``error`` names what is missing.
+
+    Both sides are dealt to as many partitions as ``rows`` (about how many tasks there are; counted if
+    not given) asks for, so that the memory of one does not grow with the input.
+    """
+    many = tasks.count() if rows is None else rows
+    dealt = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // ROWS))
+    have = images.select("image").repartition(dealt, "image").distinct().withColumn("_found", F.lit(True)).hint("merge")
     error = F.when(F.col("_found").isNull(), F.concat(F.lit("image_not_found: "), F.col("image"))).otherwise(F.lit(""))
-    return tasks.join(have, "image", "left").withColumn("error", error).drop("_found")
+    return tasks.repartition(dealt, "image").join(have, "image", "left").withColumn("error", error).drop("_found")
 
 
 def with_images(tasks: DataFrame, images: DataFrame) -> DataFrame:
