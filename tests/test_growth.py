@@ -1,11 +1,13 @@
 """Plans and kernels whose cost must not outgrow the input."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.operators import augment as A
-from glyphflow.operators import heatmaps
+from glyphflow.operators import evaluate, heatmaps, sweep, synthesis
 from glyphflow.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,35 @@ def test_image_and_maps_move_in_one_call_as_each_alone():
 
 def test_patches_are_dealt_out_before_they_are_augmented(spark):
     assert "REPARTITION_BY_NUM" in physical(score_queries.augment_maps(spark, SF))
+
+
+def test_samples_are_painted_in_as_many_tasks_as_the_session_has(spark, tmp_path, monkeypatch):
+    lines = spark.range(40).selectExpr("id as line_id", "concat('ab', id) as text")
+    papers = spark.createDataFrame([(k, 20, 9, bytes(180)) for k in range(3)], "b long, bw int, bh int, pixels binary")
+    made, plain = [], synthesis.composed
+    monkeypatch.setattr(synthesis, "composed", lambda *a: made.append(plain(*a)) or made[0])
+    assert synthesis.generate_dataset(lines, papers, str(tmp_path / "d"), synthesis.Sampler("ab0123456789 ", height=24)).count() == 40
+    plan = physical(made[0])
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_window_features_compute_their_values_once(spark):
+    df = spark.createDataFrame([(list(map(float, range(3000))),)], "v array<double>")
+    took = []
+    for radius in (1, 20):
+        began = time.time()
+        values = F.transform("v", lambda x: F.exp(-x) + x)
+        out = df.select(sweep.window_features(values, radius).alias("f")).first()["f"]
+        took.append(time.time() - began)
+    assert len(out) == 3000 and len(out[0]) == 41 and out[0][:20] == [0.0] * 20 and abs(out[2500][20] - 2500) < 1e-9
+    assert took[1] < 20, took
+
+
+def test_missing_images_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "ROWS", 100)
+    tasks = spark.range(2000).selectExpr("id as task_id", "concat('i', id % 900) as image")
+    images = spark.range(600).selectExpr("concat('i', id) as image").union(spark.createDataFrame([(None,), ("i5",)], "image string"))
+    out = evaluate.mark_missing_images(tasks, images)
+    assert physical(out).count(", 20), REPARTITION_BY_NUM") == 2
+    want = {(k, "" if k % 900 < 600 else f"image_not_found: i{k % 900}") for k in range(2000)}
+    assert {(r["task_id"], r["error"]) for r in out.collect()} == want and out.columns == ["image", "task_id", "error"]
