@@ -2,6 +2,8 @@
 
 import textwrap
 
+from pyspark.sql import functions as F
+
 from glyphflow.llm import licenses
 
 MIT = (
@@ -69,3 +71,26 @@ def test_weighted_quantile(spark):
     assert licenses.weighted_quantile(rows, 0.999) == 0.70001
     assert licenses.weighted_quantile(rows, 0.998) == 0.2
     assert licenses.weighted_quantile(rows.limit(0), 0.999) == 0.0
+
+
+def test_later_paragraphs_are_learnt_from(spark, monkeypatch):
+    seen = []
+    train = licenses.train
+    monkeypatch.setattr(licenses, "train", lambda s, negatives: seen.append(negatives.count()) or train(s, negatives))
+    long = "a b c d e f g h i j " * licenses.INNER
+    rows = [(k, f"first {k}\n\nthe second {k} of all\nand its end\n \n{long}{k}\nlast {k}") for k in range(10)] + [(10, "first 3\n\n"), (11, "\n \n"), (12, "")]
+    licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [40]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("text", licenses.paragraphs(F.col("text")).alias("p"))
+    for r in df.collect():
+        assert "\n".join(r["p"]).split() == r["text"].split() and all(p.strip() for p in r["p"])
+
+
+def test_alike_paragraphs_are_one_weighted_row(spark):
+    known = licenses.vocabulary(spark)
+    df = spark.createDataFrame([("the Xyz of the license",), ("zzz",), ("of the the of",)], "text string")
+    got = [r[0] for r in df.select(licenses.known_grams(licenses.words(F.col("text")), known)).collect()]
+    assert got == [["license", "of", "of the", "the", "the license"], [], ["of", "of the", "the", "the of"]]
+    negatives = spark.createDataFrame([(30, ["a"]), (60, ["a"]), (1, ["a"]), (-1, [])], "h long, _grams array<string>")
+    rows = licenses.training_rows(spark, negatives).where("corpus").collect()
+    assert sorted((r["v"], r["n"], r["_grams"]) for r in rows) == [(0, 2, ["a"]), (1, 1, ["a"]), (29, 1, [])]
