@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.operators import augment as A
-from glyphflow.operators import evaluate, heatmaps, sweep, synthesis
+from glyphflow.operators import decode, evaluate, heatmaps, sweep, synthesis
 from glyphflow.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,28 @@ def test_missing_images_are_dealt_by_their_number(spark, monkeypatch):
     assert physical(out).count(", 20), REPARTITION_BY_NUM") == 2
     want = {(k, "" if k % 900 < 600 else f"image_not_found: i{k % 900}") for k in range(2000)}
     assert {(r["task_id"], r["error"]) for r in out.collect()} == want and out.columns == ["image", "task_id", "error"]
+
+
+def test_flagship_decodes_scores_of_all_classes(spark, monkeypatch):
+    """One-hot scores with noise are read by their best classes; a batch gives what single lines give, across the bounds of its parts."""
+    assert "_noisy_texts(" in physical(score_queries.flagship(spark, SF))
+    assert score_queries.noisy_scores(np.array([0, 2, 2]), np.array([1]), 3).tolist() == [[1, 0, 0], [2, 0, 1], [0, 0, 1]]
+    rng, alphabet = np.random.default_rng(2), " aé漢"
+    lengths = np.array([0, 5, 0, 1, 40, 7, 0])
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    scores = rng.integers(0, 3, (at[-1], 6)).astype(np.float32)
+    want = []
+    for a, b in zip(at, at[1:], strict=False):
+        ids = [row.tolist().index(max(row)) for row in scores[a:b]]
+        want.append("".join(alphabet[v] for k, v in enumerate(ids) if (k == 0 or ids[k - 1] != v) and v < len(alphabet)))
+    for steps in (1, 7, 1000):
+        monkeypatch.setattr(decode, "STEPS", steps)
+        assert decode.greedy_texts(lambda a, b: scores[a:b], at, alphabet).to_pylist() == want
+    assert decode.greedy_texts(lambda a, b: scores[a:b], np.zeros(1, int), alphabet).to_pylist() == []
+    assert decode.greedy_texts(lambda a, b: scores[a:b], np.zeros(3, int), alphabet).to_pylist() == ["", ""]
+
+
+def test_pieces_are_cleaned_once_and_kept_by_what_they_hold(spark):
+    df = spark.createDataFrame([("a1é b",), ("1é2",), (" ",), ("",), ("..",)], "text string")
+    got = df.select(T.only_known("text", " ab.").alias("a"), T.holds_known("text", "ab.").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("a b", True), ("", False), (" ", False), ("", False), ("..", True)]
