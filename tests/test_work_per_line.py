@@ -162,3 +162,48 @@ def test_resized_pixels_are_exact_sums_as_in_sql():
         values = ", ".join(f"({r}, {i}, {v}::BIGINT)" for r, row in enumerate(rows) for i, v in enumerate(row.tolist()))
         got = duckdb.sql(f"WITH px AS (SELECT * FROM (VALUES {values}) p(line_id, i, v)), {_resized('p', 'px', n, m)} SELECT v FROM p ORDER BY line_id, i").fetchnumpy()["v"]
         assert (got.reshape(len(rows), m) == images.resize(rows, len(rows), m)).all()
+
+
+def test_lines_are_found_without_a_table_per_image(monkeypatch):
+    """Components come from runs at once: a small image makes no DataFrame, and the results are those of a flood fill and of all pairs."""
+    import numpy as np
+
+    from glyphflow.operators import images
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(images.pd, "DataFrame", None)
+    for share in (0.0, 0.1, 0.4, 0.7, 1.0):
+        mask = rng.random((9, 23)) < share
+        want, n = np.zeros(mask.shape, int), 0
+        for y, x in np.argwhere(mask).tolist():
+            if want[y, x]:
+                continue
+            n, todo = n + 1, [(y, x)]
+            while todo:
+                b, a = todo.pop()
+                if 0 <= b < 9 and 0 <= a < 23 and mask[b, a] and not want[b, a]:
+                    want[b, a] = n
+                    todo += [(b + i, a + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        labels, sizes = images._component_sizes(mask)
+        assert (labels == want).all() and images.components(mask)[1] == n
+        for k in range(n):
+            ys, xs = np.nonzero(want == k + 1)
+            assert [sizes[c][k] for c in ("first", "area", "left", "top", "w", "h", "x")] == [(ys * 23 + xs).min(), len(xs), xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, xs.mean()]
+    assert images.line_candidates(np.where(mask, 0, 255).astype(np.uint8))
+
+
+def test_pairs_that_cannot_win_are_given_up_and_the_best_one_stays(monkeypatch):
+    import numpy as np
+
+    from glyphflow.operators import images
+
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 9, 60, 130):
+        x, y = np.arange(n) * 2.0, np.round(rng.normal(20, 4, n) + np.arange(n) * 0.05)
+        found = []
+        for quarters, rests in ((1, 1 << 30), (4, 64), (4, 1 << 15)):
+            monkeypatch.setattr(images, "QUARTERS", quarters)
+            monkeypatch.setattr(images, "RESTS", rests)
+            found.append(images.ransac(x, y, 2.0 * n, 2.0))
+        assert found[0] == found[1] == found[2]
+        assert images.quantiles(y, (0.05, 0.5, 0.98)) == [float(np.quantile(y, q)) for q in (0.05, 0.5, 0.98)]
