@@ -3,11 +3,12 @@
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.operators import augment as A
-from glyphflow.operators import decode, evaluate, heatmaps, sweep, synthesis
+from glyphflow.operators import batches, decode, evaluate, heatmaps, sweep, synthesis
 from glyphflow.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +111,36 @@ def test_pieces_are_cleaned_once_and_kept_by_what_they_hold(spark):
     df = spark.createDataFrame([("a1é b",), ("1é2",), (" ",), ("",), ("..",)], "text string")
     got = df.select(T.only_known("text", " ab.").alias("a"), T.holds_known("text", "ab.").alias("b")).collect()
     assert [tuple(r) for r in got] == [("a b", True), ("", False), (" ", False), ("", False), ("..", True)]
+
+
+def test_images_are_straightened_in_one_pass_as_over_tables(spark):
+    """No pixels are shuffled, sorted or joined; the rows are those of the job over tables of edges."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(30):
+        image = np.full((24, 40 + 7 * k), 255, np.uint8)
+        for x in range(2, image.shape[1] - 2):
+            top = int(4 + rng.integers(0, 3) + x * (k % 5) * 0.02)
+            image[top : top + 8 - 7 * (k % 7 == 6), x] = 0
+        image[:, : 30 * (k % 4 == 3)] = 255
+        rows.append((k, image.shape[1], 24, image.tobytes()))
+    rows += [(30, 12, 5, b"\xff" * 60), (31, 0, 0, b""), (32, 3, 3, None), (33, 6, 4, bytes(24))]
+    df = spark.createDataFrame(rows, "line_id long, w int, h int, pixels binary")
+
+    def every_second(image):
+        return score_queries.ink_edges(image)[:, :, ::2] * np.float32(0.9)
+
+    for heat in (score_queries.ink_edges, every_second):
+        for params in (heatmaps.HeatParams(), heatmaps.HeatParams(curved=False, line_pad=0.0, line_pad_px=1.0)):
+            at_once = heatmaps.straightened_at_once(df, heat, params)
+            assert not any(step in physical(at_once) for step in ("Exchange", "Sort", "Join"))
+            got, want = ({r["line_id"]: tuple(r) for r in out.collect()} for out in (at_once, heatmaps.straightened(df, heat, params)))
+            assert got == want and len({r[1] for r in got.values()}) > 2
+    for query in (score_queries.straightened_lines, score_queries.straight_edges):
+        assert "Join" not in physical(query(spark, SF))
+
+
+def test_kernels_hold_the_results_of_few_images_at_once(spark, tmp_path, monkeypatch):
+    frames = [pd.DataFrame({"a": range(n)}) for n in (0, 5, 7)]
+    monkeypatch.setattr(batches, "ROWS", 3)
+    cut = list(batches.parts(frames))
+    assert [len(f) for f in cut] == [3, 2, 3, 3, 1] and [v for f in cut for v in f["a"]] == [*range(5), *range(7)]
