@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.operators import augment as A
-from glyphflow.operators import batches, decode, evaluate, heatmaps, sweep, synthesis
+from glyphflow.operators import batches, decode, evaluate, generate, heatmaps, images, sweep, synthesis
 from glyphflow.plans import score_queries
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,29 @@ def test_kernels_hold_the_results_of_few_images_at_once(spark, tmp_path, monkeyp
     monkeypatch.setattr(batches, "ROWS", 3)
     cut = list(batches.parts(frames))
     assert [len(f) for f in cut] == [3, 2, 3, 3, 1] and [v for f in cut for v in f["a"]] == [*range(5), *range(7)]
+
+
+def test_samples_and_images_are_made_a_few_at_a_time(spark, monkeypatch):
+    """Whatever Spark sends in one batch, a kernel hands over its results in parts."""
+    lines = spark.range(50).selectExpr("id as line_id", "concat('ab', id) as text")
+    papers = spark.createDataFrame([(k, 20, 9, bytes(180)) for k in range(3)], "b long, bw int, bh int, pixels binary")
+    s, kernels = synthesis.Sampler("ab0123456789 ", height=24), []
+    plain = type(lines).mapInPandas
+    monkeypatch.setattr(type(lines), "mapInPandas", lambda df, f, *a, **k: kernels.append((f, df)) or plain(df, f, *a, **k))
+    plan = synthesis.planned(lines, s)
+    tiles = synthesis.cropped_tiles(synthesis.background_tiles(plan.select("line_id", "w", "h"), papers, 1), papers)
+    synthesis.composed(plan, tiles, s)
+    drawn = generate.render(generate.laid_out(lines), height=24)
+    A.augment(drawn, {"invert": 1.0})
+    images.preprocess_lines(drawn)
+    heatmaps.straightened_at_once(drawn, score_queries.ink_edges)
+    monkeypatch.undo()
+    monkeypatch.setattr(batches, "ROWS", 16)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        for f, df in kernels:
+            frame = df.toPandas()
+            sizes = [len(part) for part in f(iter([frame]))]
+            assert len(kernels) == 6 and max(sizes) <= 16 and sum(sizes) == len(frame) >= 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
