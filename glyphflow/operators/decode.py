@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from glyphflow.functions import cuts as C
 from glyphflow.functions import scores as S
 
+from . import batches
+
 
 def recognize(df: DataFrame, alphabet: Column, probs: str = "p", k: int = 1, logits: bool = False) -> DataFrame:
     """K1: ids, confidences, text and the k best classes per timestep of array<array<double>> scores [t][class]."""
@@ -198,7 +200,7 @@ def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], bat
 
     Batches are padded with white to their widest line; a failing batch is tried
     line by line, and a failing line keeps its error. Lines are sorted by width
-    within a task to limit the padding.
+    within a task to limit the padding. Scores go out for many small batches at once.
     """
 
     def rows(part: pd.DataFrame) -> list[np.ndarray]:
@@ -209,23 +211,27 @@ def score_lines(df: DataFrame, score_fn: Callable[[np.ndarray], np.ndarray], bat
         full = score_fn(images)
         return [s[: max(1, round(len(s) * own / w))] for s, own in zip(full, part["w"], strict=True)]
 
+    def scored(part: pd.DataFrame) -> tuple[list[np.ndarray], list[str]]:
+        try:
+            return rows(part), [""] * len(part)
+        except Exception as e:
+            if len(part) == 1:
+                return [np.zeros((0, 0))], [f"{type(e).__name__}: {e}"]
+        alone = [scored(part.iloc[j : j + 1]) for j in range(len(part))]
+        return [s for out, _ in alone for s in out], [e for _, errors in alone for e in errors]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.sort_values(["h", "w", *keep])
             for _, same in frame.groupby("h", sort=False):
-                for k in range(0, len(same), batch):
-                    part, out, errors = same.iloc[k : k + batch], [], []
-                    try:
-                        out, errors = rows(part), [""] * len(part)
-                    except Exception:
-                        for j in range(len(part)):
-                            try:
-                                out += rows(part.iloc[j : j + 1])
-                                errors.append("")
-                            except Exception as e:
-                                out.append(np.zeros((0, 0)))
-                                errors.append(f"{type(e).__name__}: {e}")
-                    yield pd.DataFrame({**{c: part[c].to_numpy() for c in keep}, "p": [[r.astype(float).tolist() for r in s] for s in out], "error": errors})
+                many = max(batch, batches.ROWS // batch * batch)
+                for k in range(0, len(same), many):
+                    part, out, errors = same.iloc[k : k + many], [], []
+                    for j in range(0, len(part), batch):
+                        own = scored(part.iloc[j : j + batch])
+                        out += own[0]
+                        errors += own[1]
+                    yield pd.DataFrame({**{c: part[c].to_numpy() for c in keep}, "p": [list(np.asarray(s, float)) for s in out], "error": errors})
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, "h", "w", "pixels").mapInPandas(run, f"{kinds}, p array<array<double>>, error string")

@@ -170,3 +170,26 @@ def test_samples_and_images_are_made_a_few_at_a_time(spark, monkeypatch):
             assert len(kernels) == 6 and max(sizes) <= 16 and sum(sizes) == len(frame) >= 50
     finally:
         spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+
+
+def test_drawn_lines_are_read_back_without_a_join_and_in_large_parts(spark, monkeypatch):
+    plan = physical(score_queries.render_roundtrip(spark, SF))
+    assert "Join" not in plan and plan.count("MapInPandas") == 2
+    drawn = pd.DataFrame({"line_id": range(9), "h": 24, "w": [30 + k % 3 for k in range(9)], "pixels": [bytes([255]) * (24 * (30 + k % 3)) for k in range(9)]})
+    df, kernels = spark.createDataFrame(drawn.assign(h=24), "line_id long, h int, w int, pixels binary"), []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda own, f, *a, **k: kernels.append(f) or plain(own, f, *a, **k))
+    for batch, rows, sizes in ((1, 256, [9]), (2, 4, [4, 4, 1]), (4, 2, [4, 4, 1])):
+        monkeypatch.setattr(batches, "ROWS", rows)
+        decode.score_lines(df, lambda stack: [np.ones((2, 3)) / len(stack)] * len(stack), batch=batch)
+        out = list(kernels[-1](iter([drawn])))
+        assert [len(f) for f in out] == sizes and [v for f in out for v in f["line_id"]] == [0, 3, 6, 1, 4, 7, 2, 5, 8]
+
+    def picky(stack):
+        if len(stack) > 1 or stack.shape[2] == 31:
+            raise ValueError("no")
+        return [np.ones((2, 3))]
+
+    decode.score_lines(df, picky, batch=4)
+    out = pd.concat(kernels[-1](iter([drawn])))
+    assert out["error"].tolist() == [""] * 3 + ["ValueError: no"] * 3 + [""] * 3 and [len(p) for p in out["p"]] == [2] * 3 + [0] * 3 + [2] * 3
