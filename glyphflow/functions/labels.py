@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 IGNORED = -100
 SPANS = ArrayType(StructType([StructField("ch", StringType()), StructField("x0", DoubleType()), StructField("x1", DoubleType())]))
 CROPS = ArrayType(StructType([StructField("left", IntegerType()), StructField("text", StringType()), StructField("spans", SPANS)]))
+CROP_TEXTS = ArrayType(StructType([StructField("left", IntegerType()), StructField("text", StringType())]))
 #: Pairs of a crop and a span that are judged at once.
 PAIRS = 1 << 21
 
@@ -108,13 +109,12 @@ def clean_spans(spans: Column, space: str = " ") -> Column:
     return _cleaned(spans, F.lit(space))
 
 
-@F.arrow_udf(CROPS)
-def _crops(spans: pa.Array, lefts: pa.Array, width: pa.Array, whole: pa.Array, fragment: pa.Array, space: pa.Array) -> pa.Array:
-    values, at = _flat(spans)
+def _cropped(values: tuple[pa.Array, pa.Array, pa.Array], at: np.ndarray, lefts: pa.Array, width: pa.Array, whole: pa.Array, fragment: pa.Array, space: pa.Array, with_spans: bool) -> pa.Array:
+    """The crops of lines whose spans (ch, x0, x1) lie one behind another; their spans only if asked for."""
     offers, offer_at = _flat(lefts)
     line, _ = _places(offer_at)
     left, wide, n = offers.to_numpy(zero_copy_only=False).astype(np.int64), _numbers(width)[line], np.diff(at)[line]
-    x0, x1, ch = _numbers(values.field("x0")), _numbers(values.field("x1")), values.field("ch")
+    ch, x0, x1 = values[0], _numbers(values[1]), _numbers(values[2])
     blank = pc.equal(ch, space[0]).to_numpy(zero_copy_only=False).astype(bool) if len(space) else np.zeros(0, bool)
     total, parts, good = np.concatenate([[0], np.cumsum(n)]), [], np.zeros(len(line), bool)
     a = 0
@@ -142,11 +142,24 @@ def _crops(spans: pa.Array, lefts: pa.Array, width: pa.Array, whole: pa.Array, f
     kept = ch.take(pa.array(span))
     text_at = np.concatenate([[0], np.cumsum(counts[good])])
     # The kept characters lie one behind another: a crop's text is a stretch of their bytes.
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(kept).to_numpy(zero_copy_only=False), dtype=np.int64)])[text_at]
-    body = pa.py_buffer(b"".join(kept.cast(pa.binary()).to_pylist()))
-    texts = pa.Array.from_buffers(pa.string(), len(text_at) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), body])
-    rows = [pa.array(left[good], pa.int32()), texts, _lists(text_at, _made(kept, x0[span] - l, x1[span] - l))]
-    return _lists(_cut(offer_at, good), pa.StructArray.from_arrays(rows, names=["left", "text", "spans"]))
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(kept), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])[text_at]
+    texts = pa.Array.from_buffers(pa.string(), len(text_at) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), kept.buffers()[2] or pa.py_buffer(b"")])
+    rows = [pa.array(left[good], pa.int32()), texts]
+    if with_spans:
+        rows.append(_lists(text_at, _made(kept, x0[span] - l, x1[span] - l)))
+    return _lists(_cut(offer_at, good), pa.StructArray.from_arrays(rows, names=["left", "text", "spans"][: len(rows)]))
+
+
+@F.arrow_udf(CROPS)
+def _crops(spans: pa.Array, lefts: pa.Array, width: pa.Array, whole: pa.Array, fragment: pa.Array, space: pa.Array) -> pa.Array:
+    values, at = _flat(spans)
+    return _cropped(tuple(values.field(c) for c in ("ch", "x0", "x1")), at, lefts, width, whole, fragment, space, True)
+
+
+@F.arrow_udf(CROP_TEXTS)
+def _crop_texts(ch: pa.Array, x0: pa.Array, x1: pa.Array, lefts: pa.Array, width: pa.Array, whole: pa.Array, fragment: pa.Array, space: pa.Array) -> pa.Array:
+    (characters, at), (starts, _), (ends, _) = _flat(ch), _flat(x0), _flat(x1)
+    return _cropped((characters, starts, ends), at, lefts, width, whole, fragment, space, False)
 
 
 def crops(spans: Column, lefts: Column, width: Column, whole: float = 0.75, fragment: float = 0.25, space: str = " ") -> Column:
@@ -154,6 +167,11 @@ def crops(spans: Column, lefts: Column, width: Column, whole: float = 0.75, frag
     return _crops(spans, lefts.cast("array<int>"), width.cast("double"), F.lit(whole), F.lit(fragment), F.lit(space))
 
 
+def crop_texts(spans: Column, lefts: Column, width: Column, whole: float = 0.75, fragment: float = 0.25, space: str = " ") -> Column:
+    """array<struct<left, text>>: ``crops`` without the spans."""
+    return _crop_texts(spans["ch"], spans["x0"], spans["x1"], lefts.cast("array<int>"), width.cast("double"), F.lit(whole), F.lit(fragment), F.lit(space))
+
+
 def crop_spans(spans: Column, left: Column, right: Column, whole: float = 0.75, fragment: float = 0.25, space: str = " ") -> Column:
     """The spans of a crop, shifted but not clipped; null if a cut character is too visible to drop and too hidden to keep."""
     return F.get(crops(spans, F.array(left), right - left, whole, fragment, space), F.lit(0))["spans"]

@@ -45,7 +45,7 @@ def greedy_texts(scores: Callable[[int, int], np.ndarray], at: np.ndarray, alpha
     # The kept characters lie one behind another: a text is a stretch of their bytes.
     ends = np.frombuffer(chars.buffers()[1], np.int32, len(chars) + 1) if len(chars) else np.zeros(1, np.int32)
     places = ends[np.concatenate([[0], np.cumsum(keep)])[at]].astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(places.tobytes()), chars.buffers()[2]])
+    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(places.tobytes()), chars.buffers()[2] or pa.py_buffer(b"")])
 
 
 def timestep_runs(df: DataFrame, key: str = "line_id", ids: str = "ids", confidences: str = "confidences") -> DataFrame:

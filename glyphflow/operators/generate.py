@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.functions.labels import clean_spans, crops, glyph_layout, spans_text
+from glyphflow.functions.labels import clean_spans, crop_texts, crops, glyph_layout, spans_text
 from glyphflow.functions.text import chars, hash_draw, hash_uniform
 
 from .batches import parts
@@ -105,12 +105,21 @@ def fitting_backgrounds(requests: DataFrame, backgrounds: DataFrame, seed: int,
 
 def line_crops(lines: DataFrame, width: int, stride: int, lengths: tuple[int, int] = (1, 1 << 30), row: str = "line_id") -> DataFrame:
     """(row, left, text, spans) for the crops of lines with spans and width; crops with a half-visible character go."""
-    many = F.col("width") >= width
-    lefts = F.when(many, F.sequence(F.lit(0), F.greatest(F.col("width") - width, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    found = lines.select(row, F.explode(crops(F.col("spans"), lefts, F.lit(width))).alias("c"))
+    found = lines.select(row, F.explode(crops(F.col("spans"), _lefts(width, stride), F.lit(width))).alias("c"))
     return found.select(row, "c.left", "c.text", "c.spans").where(F.char_length("text").between(*lengths))
 
 
+def _lefts(width: int, stride: int) -> Column:
+    many = F.col("width") >= width
+    return F.when(many, F.sequence(F.lit(0), F.greatest(F.col("width") - width, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
+def crop_labels(lines: DataFrame, width: int, stride: int, lengths: tuple[int, int] = (1, 1 << 30), row: str = "line_id") -> DataFrame:
+    """(row, left, text) as ``line_crops`` gives them, for jobs that don't read the spans."""
+    found = lines.select(row, F.explode(crop_texts(F.col("spans"), _lefts(width, stride), F.lit(width))).alias("c"))
+    return found.select(row, "c.left", "c.text").where(F.char_length("text").between(*lengths))
+
+
 def baseline_rows(spans: Column, top: Column, bottom: Column, width: Column, height: Column, radius: int = 2) -> Column:
     """array<struct<channel, y, x0, x1, value>>: rows of a triangle around the two lines, full width without text."""
     x0 = F.greatest(F.lit(0), F.coalesce(F.floor(F.array_min(spans["x0"])), F.lit(0))).cast("int")

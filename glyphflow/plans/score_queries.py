@@ -126,10 +126,10 @@ def glyph_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_crops(spark: SparkSession, sf: str) -> DataFrame:
     """Crops of 30 columns at a stride of 15, from glyphs of six columns."""
-    rows = I.pieces(spark, sf, 12)
+    rows = I.pieces(spark, sf, 12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spans = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("ch"), (i * 6.0 + 2).alias("x0"), (i * 6.0 + 8).alias("x1")))
     laid = rows.select("line_id", spans.alias("spans"), (F.char_length("text") * 6 + 4).alias("width"))
-    return generate.line_crops(laid, 30, 15).select("line_id", "left", "text")
+    return generate.crop_labels(laid, 30, 15)
 
 
 def dense_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -207,3 +207,16 @@ def test_pairs_that_cannot_win_are_given_up_and_the_best_one_stays(monkeypatch):
             found.append(images.ransac(x, y, 2.0 * n, 2.0))
         assert found[0] == found[1] == found[2]
         assert images.quantiles(y, (0.05, 0.5, 0.98)) == [float(np.quantile(y, q)) for q in (0.05, 0.5, 0.98)]
+
+
+def test_crop_labels_are_those_of_crops_without_making_spans(spark):
+    from glyphflow.plans import score_queries
+
+    every = [*texts(), "il", "漢" * 30]
+    laid = generate.laid_out(lines(spark, every), padding=2).cache()
+    for width, stride in ((30, 7), (500, 1), (12, 3)):
+        got = sorted(tuple(r) for r in generate.crop_labels(laid, width, stride, (1, 6)).collect())
+        assert got == sorted(tuple(r) for r in generate.line_crops(laid, width, stride, (1, 6)).select("line_id", "left", "text").collect())
+    assert generate.crop_labels(laid.where("text = ''"), 30, 7).count() == 0
+    out = score_queries.line_crops(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "_crop_texts(" in out and "_crops(" not in out and "REPARTITION_BY_NUM" in out
