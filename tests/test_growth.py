@@ -193,3 +193,33 @@ def test_drawn_lines_are_read_back_without_a_join_and_in_large_parts(spark, monk
     decode.score_lines(df, picky, batch=4)
     out = pd.concat(kernels[-1](iter([drawn])))
     assert out["error"].tolist() == [""] * 3 + ["ValueError: no"] * 3 + [""] * 3 and [len(p) for p in out["p"]] == [2] * 3 + [0] * 3 + [2] * 3
+
+
+def test_draws_and_samples_are_those_of_plain_ones():
+    draws = A.Draws()
+    for k, name in ((3, "noise"), (3, "rotate"), (10**17, "noise"), (3, "noise")):
+        rng, alone = draws(42, k, name), A.rng_for(42, k, name)
+        for draw in (lambda r: r.random(3), lambda r: r.integers(0, 9, 5), lambda r: r.standard_normal(4), lambda r: r.random(), lambda r: r.integers(0, 2**32, 3, np.uint32)):
+            assert np.array_equal(draw(rng), draw(alone))
+    rng = np.random.default_rng(1)
+    for fill, image in ((0.25, rng.random((5, 8))), (np.array([[[0.1]], [[0.7]]]), rng.random((2, 5, 8)))):
+        xs, ys = np.append(rng.uniform(-4, 12, 60), [-1e9, 0, 7, 8, -1, 7.5]), np.append(rng.uniform(-4, 9, 60), [2, 0, 4, 4, -1, 1e9])
+        want = np.zeros((*image.shape[:-2], len(xs)))
+        for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            left, top = int(np.floor(x)), int(np.floor(y))
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    inside = 0 <= left + dx < 8 and 0 <= top + dy < 5
+                    v = image[..., top + dy, left + dx] if inside else np.squeeze(fill)
+                    want[..., k] += v * (x - left if dx else 1 - (x - left)) * (y - top if dy else 1 - (y - top))
+        assert np.array_equal(A.sample(image, xs[None], ys[None], fill)[..., 0, :], want)
+
+
+def test_a_generator_is_made_once_for_many_images(spark, monkeypatch):
+    made, kernels = [], []
+    df = spark.createDataFrame([(k, 4, 6, bytes(range(24))) for k in range(9)], "line_id long, h int, w int, pixels binary")
+    plain, philox = type(df).mapInPandas, np.random.Philox
+    monkeypatch.setattr(type(df), "mapInPandas", lambda own, f, *a, **k: kernels.append(f) or plain(own, f, *a, **k))
+    A.augment(df, {"noise": 1.0, "rotate": 1.0})
+    monkeypatch.setattr(A.np.random, "Philox", lambda *a, **k: made.append(1) or philox(*a, **k))
+    assert len(pd.concat(kernels[0](iter([df.toPandas()])))) == 9 and len(made) == 1
