@@ -220,3 +220,44 @@ def test_crop_labels_are_those_of_crops_without_making_spans(spark):
     assert generate.crop_labels(laid.where("text = ''"), 30, 7).count() == 0
     out = score_queries.line_crops(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "_crop_texts(" in out and "_crops(" not in out and "REPARTITION_BY_NUM" in out
+
+
+def test_lines_are_drawn_at_once_as_glyph_by_glyph():
+    import numpy as np
+
+    rng = random.Random(7)
+    for height, top, scale in ((24, 5, 2), (9, -3, 1), (12, 4, 2)):
+        rows = []
+        for k in range(30):
+            spans = [(rng.choice("ab é漢."), rng.uniform(-12, 40), 0.0) for _ in range(rng.randint(0, 6) * (k % 9 > 0))]
+            rows.append((rng.randint(1, 40), spans))
+        got = generate.drawn(np.array([w for w, _ in rows]), [np.array([s[0] for s in own], object) for _, own in rows], [np.array([s[1] for s in own]) for _, own in rows], height, top, scale, 200)
+        for (w, spans), image in zip(rows, got, strict=True):
+            canvas = np.full((height, w), 200, np.uint8)
+            generate.draw(canvas, spans, top, scale)
+            assert (image == canvas).all()
+    assert generate.drawn(np.zeros(0, int), [], [], 24, 5, 2, 255) == []
+
+
+def test_resizing_remembers_its_weights_and_stays_exact(monkeypatch):
+    import numpy as np
+
+    from glyphflow.operators import images
+
+    def exact(image, h, w):
+        at, k = images._cubic(image.shape[0], h)
+        out = np.einsum("ikw,ik->iw", image[at].astype(np.int64), k)
+        at, k = images._cubic(image.shape[1], w)
+        return np.clip((np.einsum("hjk,jk->hj", out[:, at], k) + images.PART**2 // 2) // images.PART**2, 0, 255).astype(np.uint8)
+
+    rng = np.random.default_rng(4)
+    for n, m, h, w in ((24, 300, 16, 213), (16, 213, 16, 192), (1, 1, 9, 7), (40, 3, 48, 1), (7, 90, 1, 400), (5, 5, 5, 5)):
+        for image in (rng.integers(0, 256, (n, m), np.uint8), rng.choice(np.array([0, 255], np.uint8), (n, m))):
+            assert (images.resize(image, h, w) == exact(image, h, w)).all()
+    made, cubic = [], images._cubic
+    monkeypatch.setattr(images, "_cubic", lambda *a: made.append(a) or cubic(*a))
+    for _ in range(50):
+        images.resize(image, 11, 13)
+    assert len(made) <= 2
+    for values in (rng.integers(0, 256, 7, np.uint8), rng.integers(0, 3, (4, 6), np.uint8), np.array([9], np.uint8)):
+        assert images.grey_median(values) == np.median(values)
